@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tonearc.llm import encoding
+from tonearc.llm.packing import pack
 from tonearc.llm.token_files import read_token_files, write_token_files
 
 
@@ -14,13 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), encoding.path("word_bpe_49k.json"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_token_files(table(spark, sf_dir, "documents"), encoding.path("byte_bpe_50k.json"))
     return read_token_files(manifest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_token_files,)}
+    return {f.__name__: f for f in (op8_packing, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tonearc.llm import encoding
 from tonearc.llm.packing import pack
+from tonearc.llm.token_counts import token_counts
 from tonearc.llm.token_files import read_token_files, write_token_files
 
 
@@ -15,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), encoding.path("byte_bpe_50k.json"), limit=1024)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), encoding.path("word_bpe_49k.json"))
 
@@ -25,7 +30,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_packing, op9_token_files)}
+    return {f.__name__: f for f in (op2_token_counts, op8_packing, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonearc.llm import encoding
+from tonearc.llm import encoding, line_dedup
 from tonearc.llm.packing import pack
 from tonearc.llm.token_counts import token_counts
 from tonearc.llm.token_files import read_token_files, write_token_files
@@ -20,6 +20,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), encoding.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), encoding.path("word_bpe_49k.json"))
 
@@ -30,8 +34,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op8_packing, op9_token_files)}
+    return {f.__name__: f for f in (op2_token_counts, op6_line_dedup, op8_packing, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": line_dedup.ORACLE}

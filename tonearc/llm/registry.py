@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonearc.llm import encoding, line_dedup
+from tonearc.llm import encoding, line_dedup, toxicity
 from tonearc.llm.packing import pack
 from tonearc.llm.token_counts import token_counts
 from tonearc.llm.token_files import read_token_files, write_token_files
@@ -33,8 +33,14 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+    held_out = (toxicity.fold(out.doc_id) == 2).alias("held_out")
+    return out.select("doc_id", held_out, "score", "predicted", "mean_ratio", "most", "large")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op6_line_dedup, op8_packing, op9_token_files)}
+    return {f.__name__: f for f in (op2_token_counts, op6_line_dedup, op8_packing, op9_token_files, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tonearc.llm import encoding, line_dedup, toxicity
+from tonearc.llm.decontamination import contaminated
 from tonearc.llm.ngram_join import near_duplicates
 from tonearc.llm.packing import pack
 from tonearc.llm.token_counts import token_counts
@@ -21,6 +22,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), encoding.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.6, n=3, trees=36, recall=0.99)
 
@@ -45,7 +50,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_ngram_join, op6_line_dedup, op8_packing, op9_token_files, op10_toxicity)}
+    return {f.__name__: f for f in (op2_token_counts, op3_decontamination, op4_ngram_join, op6_line_dedup, op8_packing, op9_token_files, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonearc.llm import encoding, line_dedup, toxicity
+from tonearc.llm import encoding, license_scan, line_dedup, toxicity
 from tonearc.llm.decontamination import contaminated
 from tonearc.llm.ngram_join import near_duplicates
 from tonearc.llm.packing import pack
@@ -30,6 +30,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.6, n=3, trees=36, recall=0.99)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
 
@@ -50,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_decontamination, op4_ngram_join, op6_line_dedup, op8_packing, op9_token_files, op10_toxicity)}
+    return {f.__name__: f for f in (op2_token_counts, op3_decontamination, op4_ngram_join, op5_license_scan, op6_line_dedup, op8_packing, op9_token_files, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

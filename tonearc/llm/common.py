@@ -130,9 +130,10 @@ def space_chunks(buf: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
     # White space beyond ASCII starts with C2 85, C2 A0 or one of E1 9A, E2 80, E2 81, E3 80; not all that starts so is white space, but not cutting is always right.
     fine = (p1 > 32) & (n1 > 32) & ~((p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0))) & ~((p3 >= 0xE1) & (p3 <= 0xE3) & odd[p2])
     fine &= ~((n1 == 0xC2) & ((n2 == 0x85) | (n2 == 0xA0))) & ~((n1 >= 0xE1) & (n1 <= 0xE3) & odd[n2])
-    at = at[fine]
-    begin = rows[:-1][rows[1:] > rows[:-1]]
-    starts = np.union1d(at, begin)
+    mark = np.zeros(n, bool)
+    mark[at[fine]] = True
+    mark[rows[:-1][rows[1:] > rows[:-1]]] = True
+    starts = np.flatnonzero(mark)
     ends = np.append(starts[1:], n)
     return starts, ends, np.searchsorted(starts, rows)
 
@@ -150,12 +151,12 @@ def words(buf: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     inside[1:-1] = low[:n] != 32
     edge = np.diff(inside)
     # A word ends where its row ends.
+    begin, end = edge == 1, edge == -1
     cut = rows[1:-1]
     cut = cut[(cut > 0) & (cut < n)]
-    cut = np.unique(cut[(inside[cut] == 1) & (inside[cut + 1] == 1)])
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if len(cut):
-        starts, ends = np.union1d(starts, cut), np.union1d(ends, cut)
+    cut = cut[(inside[cut] == 1) & (inside[cut + 1] == 1)]
+    begin[cut] = end[cut] = True
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(end)
     return low, starts, ends, np.searchsorted(starts, rows)
 
 
@@ -176,6 +177,18 @@ def prefix(size: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
 
 
+def distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values ascending, index of each element's value, counts), by sorting."""
+    order = np.argsort(a, kind="stable")
+    own = a[order]
+    new = np.ones(len(a), bool)
+    new[1:] = own[1:] != own[:-1]
+    at = np.flatnonzero(new)
+    which = np.empty(len(a), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return own[at], which, np.diff(np.append(at, len(a)))
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 

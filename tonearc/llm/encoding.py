@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import os
+from array import array
+
 import numpy as np
 import public_tokenizers
 import regex
@@ -28,18 +32,19 @@ class Encoder:
 
     def __init__(self, path: str, remember: int = 350_000):
         quiet_tokenizers()
-        import json
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.special = [x["content"] for x in spec["added_tokens"]]
+        self.tokenize = self.model.tokenize
+        #: What all special strings have in common at their start.
+        self.mark = os.path.commonprefix([x["content"] for x in spec["added_tokens"]])
+        self.kind, self.code = (np.uint16, "H") if self.tokenizer.get_vocab_size(True) <= 65536 else (np.uint32, "I")
         self.lower = spec["normalizer"] is not None
         self.pattern = regex.compile(_CLIP if self.lower else _GPT)
         found = spec["pre_tokenizer"].get("use_regex") or any(_CLIP == p.get("pattern", {}).get("Regex") for p in spec["pre_tokenizer"].get("pretokenizers", []))
-        self.direct = bool(found) and spec["model"]["type"] == "BPE"
+        self.direct = bool(found) and spec["model"]["type"] == "BPE" and bool(self.mark)
         self.remember, self.young, self.old = remember, {}, {}
 
     @classmethod
@@ -51,13 +56,17 @@ class Encoder:
 
     def encode(self, piece: bytes) -> list[int]:
         text = piece.decode("utf-8", "replace")
-        if not self.direct or len(piece) > 256 or not (text.isascii() or max(text) < "Ā") or any(s in text for s in self.special):
+        plain = text.isascii()
+        if not self.direct or len(piece) > 256 or not (plain or max(text) < "Ā") or self.mark in text:
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         if self.lower:
             text = text.lower()
+        one = text[1:].isalpha() and text[0] == " "
+        found = ((text[1:] if self.lower else text),) if one else self.pattern.findall(text)
         ids: list[int] = []
-        for word in self.pattern.findall(text):
-            ids += [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        for word in found:
+            word = word.replace(" ", "Ġ") if plain and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+            ids += [t.id for t in self.tokenize(word)]
         return ids
 
     def ids(self, piece: bytes) -> bytes:
@@ -66,16 +75,12 @@ class Encoder:
         if found is None:
             found = self.old.get(piece)
             if found is None:
-                found = np.array(self.encode(piece), self.kind).tobytes()
+                found = array(self.code, self.encode(piece)).tobytes()
             self.young[piece] = found
             if len(self.young) > self.remember:
                 self.old, self.young = self.young, {}
         return found
 
-    @property
-    def kind(self) -> type:
-        return np.uint16 if self.tokenizer.get_vocab_size(True) <= 65536 else np.uint32
-
     def encode_rows(self, buf: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after the other, and where each row starts, one more than rows."""
         starts, ends, first = space_chunks(buf, rows)

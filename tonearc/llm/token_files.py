@@ -33,48 +33,51 @@ MAGIC = b"RPGRAM01"
 
 def compress(ids: np.ndarray, first: np.ndarray, terminals: int, min_share: float = 2.0**-15, min_count: int = 8) -> dict[str, np.ndarray]:
     """Grammar of ids, of which row i is ids[first[i]:first[i + 1]]. A round replaces every pair that makes up at least
-    a share of all places, the most frequent first where occurrences overlap; the share falls to a quarter from round
-    to round, down to min_share (or min_count places)."""
-    seq = ids.astype(np.int64)
+    a share of all places, the most frequent first where occurrences overlap; the share falls to an eighth from round to
+    round, down to min_share (or min_count places), and the last level is repeated while it still finds pairs that cover
+    a hundredth of the symbols."""
+    seq = ids.astype(np.int32)
     last = np.zeros(len(seq), bool)
     ends = first[1:][first[1:] > first[:-1]] - 1
     last[ends] = True
     left, right, symbols = [], [], terminals
-    share, least = 2.0**-7, max(min_count, int(len(seq) * min_share))
+    share, least = 2.0**-6, max(min_count, int(len(seq) * min_share))
     while len(seq) > 1:
         level = max(least, int(len(ids) * share))
-        key = (seq[:-1] << 32) | seq[1:]
-        ok = np.flatnonzero(~last[:-1])
         # Counts by hash come first: only places whose bucket is full enough are sorted.
-        bucket = ((key[ok].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        full = np.bincount(bucket, minlength=1 << 20)
-        ok = ok[full[bucket] >= level]
-        pairs, which, n = np.unique(key[ok], return_inverse=True, return_counts=True)
+        bucket = (seq[:-1].view(np.uint32) * np.uint32(0x9E3779B1) + seq[1:].view(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(12)
+        full = np.bincount(bucket, minlength=1 << 20) >= level
+        ok = np.flatnonzero(full[bucket] & ~last[:-1])
+        key = seq[ok].astype(np.int64) << 32 | seq[ok + 1]
+        pairs, which, n = C.distinct(key)
         good = n >= level
+        won = 0
         if good.any():
-            rank = np.zeros(len(pairs), np.int64)
+            never = np.iinfo(np.int32).max
+            rank = np.full(len(pairs), never, np.int32)
             order = np.flatnonzero(good)[np.argsort(-n[good], kind="stable")]
-            rank[order] = np.arange(1, len(order) + 1)
+            rank[order] = np.arange(len(order))
             took = rank[which]
-            pos, took = ok[took > 0], took[took > 0]
-            at = np.full(len(seq) + 1, np.iinfo(np.int64).max)
-            at[pos] = took
+            pos, took = ok[took < never], took[took < never]
+            at = np.full(len(seq) + 1, never, np.int32)
+            at[pos + 1] = took
             # The better rank wins of two that overlap, the left one of equals.
-            win = pos[(took < np.where(pos > 0, at[pos - 1], np.iinfo(np.int64).max)) & (took <= at[pos + 1])]
-            used, new = np.unique(at[win], return_inverse=True)
-            left.append(pairs[order][used - 1] >> 32)
-            right.append(pairs[order][used - 1] & 0xFFFFFFFF)
-            seq[win] = symbols + new
+            win = pos[(took < at[pos]) & (took <= at[pos + 2])]
+            rank_of = at[win + 1]
+            uses = np.bincount(rank_of, minlength=len(order)) > 0
+            used, number = np.flatnonzero(uses), np.cumsum(uses) - 1
+            left.append(pairs[order][used] >> 32)
+            right.append(pairs[order][used] & 0xFFFFFFFF)
+            seq[win] = symbols + number[rank_of]
             last[win] = last[win + 1]
             symbols += len(used)
             keep = np.ones(len(seq), bool)
             keep[win + 1] = False
             seq, last = seq[keep], last[keep]
-        elif level == least:
-            break
-        share /= 4
-        if share < 2.0**-40:
+            won = len(win)
+        if level == least and won < 0.01 * len(seq):
             break
+        share /= 8
     left_ = np.concatenate(left) if left else np.zeros(0, np.int64)
     right_ = np.concatenate(right) if right else np.zeros(0, np.int64)
     size = expansion_sizes(left_, right_, terminals)
@@ -93,19 +96,26 @@ def expansion_sizes(left: np.ndarray, right: np.ndarray, terminals: int) -> np.n
 
 
 def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, terminals: int) -> np.ndarray:
-    """All symbols replaced by what they stand for, a level of rules at a time."""
-    out = symbols.astype(np.int64)
-    while len(out):
-        rule = out >= terminals
+    """All symbols replaced by what they stand for."""
+    used = np.flatnonzero(np.bincount(symbols[symbols >= terminals].astype(np.int64) - terminals, minlength=len(left)))
+    flat, level = used.astype(np.int64) + terminals, np.arange(len(used))
+    while len(flat):  # the rules in use, a level at a time
+        rule = flat >= terminals
         if not rule.any():
             break
-        at = np.arange(len(out)) + np.cumsum(rule) - rule
-        wide = np.empty(len(out) + int(rule.sum()), np.int64)
-        wide[at[~rule]] = out[~rule]
-        wide[at[rule]] = left[out[rule] - terminals]
-        wide[at[rule] + 1] = right[out[rule] - terminals]
-        out = wide
-    return out
+        at = np.arange(len(flat)) + np.cumsum(rule) - rule
+        wide, owner = np.empty(len(flat) + int(rule.sum()), np.int64), np.empty(len(flat) + int(rule.sum()), np.int64)
+        wide[at[~rule]] = flat[~rule]
+        wide[at[rule]] = left[flat[rule] - terminals]
+        wide[at[rule] + 1] = right[flat[rule] - terminals]
+        owner[at], owner[at[rule] + 1] = level, level[rule]
+        flat, level = wide, owner
+    size, begin = np.ones(terminals + len(left), np.int64), np.arange(terminals + len(left))
+    size[used + terminals] = np.bincount(level, minlength=len(used))
+    begin[used + terminals] = terminals + C.prefix(size[used + terminals])[:-1]
+    table = np.concatenate([np.arange(terminals), flat]).astype(np.uint32)
+    own = symbols.astype(np.int64)
+    return table[C.ragged(begin[own], size[own])]
 
 
 # ---- files -----------------------------------------------------------------------------------------------------------

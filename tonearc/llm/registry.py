@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tonearc.llm import encoding, license_scan, line_dedup, toxicity
 from tonearc.llm.decontamination import contaminated
+from tonearc.llm.fingerprints import fingerprints
 from tonearc.llm.ngram_join import near_duplicates
 from tonearc.llm.packing import pack
 from tonearc.llm.token_counts import token_counts
@@ -38,6 +39,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), encoding.path("word_bpe_49k.json"))
 
@@ -54,7 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_decontamination, op4_ngram_join, op5_license_scan, op6_line_dedup, op8_packing, op9_token_files, op10_toxicity)}
+    return {f.__name__: f for f in (op2_token_counts, op3_decontamination, op4_ngram_join, op5_license_scan, op6_line_dedup, op7_fingerprints, op8_packing, op9_token_files, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

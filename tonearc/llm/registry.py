@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonearc.llm import encoding, license_scan, line_dedup, toxicity
+from tonearc.llm import encoding, license_scan, line_dedup, toxicity, warc
 from tonearc.llm.decontamination import contaminated
 from tonearc.llm.fingerprints import fingerprints
 from tonearc.llm.ngram_join import near_duplicates
@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.write_archives(table(spark, sf_dir, "pages"), least=0)
+    warc.write_index(captures)
+    return warc.read_archives(captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), encoding.path("byte_bpe_50k.json"), limit=1024)
 
@@ -59,8 +65,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_decontamination, op4_ngram_join, op5_license_scan, op6_line_dedup, op7_fingerprints, op8_packing, op9_token_files, op10_toxicity)}
+    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_decontamination, op4_ngram_join, op5_license_scan, op6_line_dedup, op7_fingerprints, op8_packing, op9_token_files, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": line_dedup.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op6_line_dedup": line_dedup.ORACLE}

@@ -173,16 +173,18 @@ def repeated_keys(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id",
     return joined[0].unionByName(joined[1]).where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "key")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Every row: doc_id, n_lines (before), n_dropped, kept (the other lines joined by \\n; a null or empty text is one
-    empty line). Ties go to the smallest id; an empty table gives no rows; other columns are ignored."""
+    empty line), and the columns named in carry. Rows that share an id are one document when lines are counted and keep
+    a row each. Ties go to the smallest id; an empty table gives no rows; other columns are ignored."""
     lost = repeated_keys(docs, min_chars, id_col, text_col).groupBy(F.col("doc_id").alias("lost_id")).agg(F.collect_set("key").alias("lost"))
-    text = C.id_and_text(docs, id_col, text_col)
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(0)
+    text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carried.alias("carried"))
     joined = text.join(lost.hint("shuffle_hash"), text.doc_id.eqNullSafe(lost.lost_id), "left")
-    lines = joined.select("doc_id", _lines(F.col("text")).alias("lines"), "lost", "text")
-    kept = F.filter("lines", lambda x: ~F.array_contains("lost", line_key(x)))
-    out = lines.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.when(F.col("lost").isNull(), F.col("lines")).otherwise(kept).alias("kept"))
-    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("kept"))
+    lines = joined.select("doc_id", _lines(F.col("text")).alias("lines"), "lost", "carried")
+    kept = F.when(F.col("lost").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("lost", line_key(x))))
+    out = lines.select("doc_id", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"), "carried")
+    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("kept"), *[F.col("carried")[c].alias(c) for c in carry])
 
 
 def digest(docs: DataFrame) -> DataFrame:

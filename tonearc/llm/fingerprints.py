@@ -65,6 +65,7 @@ def parse(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     low = label.view(np.int8)
     peak = np.zeros(len(names), bool)  # a phrase starts where the label is larger than both neighbours'
     peak[1:-1] = (low[1:-1] > low[:-2]) & (low[1:-1] >= low[2:])
+    peak[:-1] &= ~head[1:]  # the last symbol of a row has no neighbour after it
     peak |= head
     start = np.flatnonzero(peak)
     size = np.diff(np.append(start, len(names)))

@@ -111,7 +111,7 @@ def _rows(names: pa.Array, row, at, h, slots, begin, total: int, size: int) -> p
     return pa.RecordBatch.from_arrays(cols, ["name", "at", "hash", "slots", "total", "size"])
 
 
-def contaminated(docs: DataFrame, items: DataFrame, window: int = 8, literal: float = 0.5, coverage: float = 0.3, consistency: float = 0.75, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, window: int = 8, literal: float = 0.5, coverage: float = 0.3, consistency: float = 0.9, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Pairs (doc_id, item_id) where the document holds at least a share `coverage` of the item's windows, with
     consistent slots: n_windows (of the item, found), coverage, consistency, exact (all slots hold the item's own
     values), first_token and last_token (template tokens of the document).

@@ -115,7 +115,11 @@ def fit(m: TopicModel, iterations: int = 100, chain: int = 1, likelihood: bool =
 
     def per_doc(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Distinct rows of leaf counts of documents, and how many have them."""
-        n = [F.aggregate("cells", F.lit(0), lambda a, c, z=z: a + F.when(c.z == z, c.n).otherwise(0)).alias(f"z{z}") for z in range(m.Z)]
+
+        def of(z: int):
+            return F.aggregate("cells", F.lit(0), lambda a, c: a + F.when(c.z == z, c.n).otherwise(0)).alias(f"z{z}")
+
+        n = [of(z) for z in range(m.Z)]
         rows = df.select(*n).groupBy(*[f"z{z}" for z in range(m.Z)]).count().toPandas()
         return rows.drop(columns="count").to_numpy(float), rows["count"].to_numpy(float)
 

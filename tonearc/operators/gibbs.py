@@ -68,13 +68,21 @@ def _draw(rng: np.random.Generator, w: np.ndarray, n: np.ndarray, nz: np.ndarray
     return rng.multinomial(n, p / p.sum(axis=1, keepdims=True))
 
 
-def dirichlet_fixed_point(counts: np.ndarray, freq: np.ndarray, alpha: np.ndarray, tol: float = 1e-6, most: int = 100_000) -> np.ndarray:
-    """Minka's fixed point of a Dirichlet-multinomial; counts: distinct rows of counts, freq: how often each occurs."""
-    total = counts.sum(axis=1)
+#: How often each count occurs: (distinct counts, frequencies).
+Histogram = tuple[np.ndarray, np.ndarray]
+
+
+def histogram(counts: np.ndarray) -> Histogram:
+    return np.unique(np.asarray(counts, float), return_counts=True)
+
+
+def dirichlet_fixed_point(parts: list[Histogram], totals: Histogram, alpha: np.ndarray, tol: float = 1e-6, most: int = 100_000) -> np.ndarray:
+    """Minka's fixed point of a Dirichlet-multinomial, from the histogram of each component's counts and of their sums."""
+    alpha = np.asarray(alpha, float)
     for _ in range(most):
-        s = alpha.sum()
-        below = (freq * (digamma(total + s) - digamma(np.full(len(total), s)))).sum()
-        above = (freq[:, None] * (digamma(counts + alpha) - digamma(np.broadcast_to(alpha, counts.shape)))).sum(axis=0)
+        s = np.array([alpha.sum()])
+        below = (totals[1] * (digamma(totals[0] + s) - digamma(s))).sum()
+        above = np.array([(f * (digamma(n + a) - digamma(np.array([a])))).sum() for (n, f), a in zip(parts, alpha)])
         new = np.maximum(alpha * above / max(below, 1e-300), 1e-10)
         if np.abs(new - alpha).max() < tol:
             return new
@@ -87,10 +95,11 @@ def _log_w(n: np.ndarray, beta: np.ndarray, eps: float = 1e-9) -> float:
     return float((log_gamma(s) - log_gamma(n.sum(axis=1) + s)).sum() + (log_gamma(n + beta + eps) - log_gamma(beta + eps)).sum())
 
 
-def _log_layer(n: np.ndarray, prior: np.ndarray) -> float:
-    """Of rows of counts under one prior."""
-    s = prior.sum()
-    return float((log_gamma(np.full(len(n), s)) - log_gamma(n.sum(axis=1) + s)).sum() + (log_gamma(n + prior) - log_gamma(np.broadcast_to(prior, n.shape))).sum())
+def _log_layer(parts: list[Histogram], totals: Histogram, prior: np.ndarray) -> float:
+    """Of documents whose component counts and sums have these histograms, under one prior."""
+    s = np.array([prior.sum()])
+    out = (totals[1] * (log_gamma(s) - log_gamma(totals[0] + s))).sum()
+    return float(out + sum((f * (log_gamma(n + a) - log_gamma(np.array([a])))).sum() for (n, f), a in zip(parts, prior)))
 
 
 def fit(m: TopicModel, iterations: int = 100, chain: int = 1, likelihood: bool = True, every: int = 10, alpha_cycle: int = 0, gamma_cycle: int = 0) -> TopicModel:
@@ -113,15 +122,22 @@ def fit(m: TopicModel, iterations: int = 100, chain: int = 1, likelihood: bool =
         out[rows["z"].to_numpy(int), rows["w"].to_numpy(int)] = rows["n"]
         return out
 
-    def per_doc(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct rows of leaf counts of documents, and how many have them."""
+    def histograms(df: DataFrame) -> dict[str, list[Histogram]]:
+        """Histograms over documents of the counts of each leaf, each l1 and of all: a row per distinct count of each, so
+        what is collected grows with the longest document, not with their number."""
 
         def of(z: int):
-            return F.aggregate("cells", F.lit(0), lambda a, c: a + F.when(c.z == z, c.n).otherwise(0)).alias(f"z{z}")
-
-        n = [of(z) for z in range(m.Z)]
-        rows = df.select(*n).groupBy(*[f"z{z}" for z in range(m.Z)]).count().toPandas()
-        return rows.drop(columns="count").to_numpy(float), rows["count"].to_numpy(float)
+            return F.aggregate("cells", F.lit(0), lambda a, c: a + F.when(c.z == z, c.n).otherwise(0))
+
+        n = [F.col(f"z{z}") for z in range(m.Z)]
+        first = [sum(n[i * m.L2 + 1 : (i + 1) * m.L2], n[i * m.L2]) for i in range(m.L1)]
+        cells = [F.struct(F.lit(k).alias("kind"), F.lit(i).alias("i"), x.cast("long").alias("n")) for k, some in (("z", n), ("l1", first), ("all", [sum(n[1:], n[0])])) for i, x in enumerate(some)]
+        rows = df.select(*[of(z).alias(f"z{z}") for z in range(m.Z)]).select(F.explode(F.array(*cells)).alias("x")).groupBy("x.kind", "x.i", "x.n").count().toPandas()
+        out = {}
+        for kind, size in (("z", m.Z), ("l1", m.L1), ("all", 1)):
+            own = [rows[(rows["kind"] == kind) & (rows["i"] == i)] for i in range(size)]
+            out[kind] = [(x["n"].to_numpy(float), x["count"].to_numpy(float)) for x in own]
+        return out
 
     counts = table(docs)
     for sweep in range(m.it + 1, m.it + iterations + 1):
@@ -148,16 +164,15 @@ def fit(m: TopicModel, iterations: int = 100, chain: int = 1, likelihood: bool =
         counts = table(docs)
         update = [c and sweep % c == 0 for c in (alpha_cycle, gamma_cycle)]
         if likelihood or any(update):
-            rows, freq = per_doc(docs)
-            split = rows.reshape(len(rows), m.L1, m.L2)
+            h = histograms(docs)
+            blocks = [slice(i * m.L2, (i + 1) * m.L2) for i in range(m.L1)]
             if update[0]:
-                l1 = dirichlet_fixed_point(split.sum(axis=2), freq, l1)
+                l1 = dirichlet_fixed_point(h["l1"], h["all"][0], l1)
             if update[1] and m.L2 > 1:
-                l2 = np.concatenate([dirichlet_fixed_point(split[:, i], freq, l2[i * m.L2 : (i + 1) * m.L2]) for i in range(m.L1)])
+                l2 = np.concatenate([dirichlet_fixed_point(h["z"][b], h["l1"][i], l2[b]) for i, b in enumerate(blocks)])
             if likelihood:
-                many = lambda x: np.repeat(x, freq.astype(int), axis=0)
-                second = 0.0 if m.L2 == 1 else sum(_log_layer(many(split[:, i]), l2[i * m.L2 : (i + 1) * m.L2]) for i in range(m.L1))
-                logs.append((_log_w(counts, beta), _log_layer(many(split.sum(axis=2)), l1), second))
+                second = 0.0 if m.L2 == 1 else sum(_log_layer(h["z"][b], h["l1"][i], l2[b]) for i, b in enumerate(blocks))
+                logs.append((_log_w(counts, beta), _log_layer(h["l1"], h["all"][0], l1), second))
     words = m.vocab.select("word").orderBy("word").toPandas().assign(w=lambda d: np.arange(len(d), dtype=np.int32))
     names = spark.createDataFrame(words)
     ranked = docs.select("doc_id", F.explode("cells").alias("c")).select("doc_id", "c.*").join(names, "w")

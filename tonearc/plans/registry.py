@@ -98,8 +98,12 @@ mark AS (SELECT doc_id, pos, n, coalesce(lag(pos) OVER (PARTITION BY doc_id ORDE
 per AS (SELECT doc_id, sum((n * 3 % 7) / 7.0e0 - (n % 7) / 7.0e0) AS mp, sum((n * 6 % 7) / 7.0e0 - (n * 4 % 7) / 7.0e0) AS ec,
   sum((n % 7) / 7.0e0 + (n * 2 % 7) / 7.0e0 + (n * 3 % 7) / 7.0e0) AS mpa, sum((n * 4 % 7) / 7.0e0 + (n * 5 % 7) / 7.0e0 + (n * 6 % 7) / 7.0e0) AS eca FROM mark WHERE NOT busy GROUP BY doc_id),
 b AS (SELECT doc_id, source, coalesce(mp, 0) AS mp, coalesce(ec, 0) AS ec, avg(coalesce(mpa, 0)) OVER (PARTITION BY source) AS mpm, avg(coalesce(eca, 0)) OVER (PARTITION BY source) AS ecm FROM documents LEFT JOIN per USING (doc_id))
-SELECT doc_id, round(mp / greatest(mpm, sqrt(2.220446049250313e-16)), 6) AS mp, round(ec / greatest(ecm, sqrt(2.220446049250313e-16)), 6) AS ec FROM b"""
-_add("ngram_scores", lambda s, d: rounded(lexicon.ngram_scores(_segments(s, d), _ngram_lexicon(s, d), parent_col="source", stemmed=False)), _NGRAM)
+SELECT doc_id, round(mp / greatest(mpm, sqrt(2.220446049250313e-16)), 6) + 0e0 AS mp, round(ec / greatest(ecm, sqrt(2.220446049250313e-16)), 6) + 0e0 AS ec FROM b"""
+_add(
+    "ngram_scores",  # + 0 makes -0 of sums that cancel 0
+    lambda s, d: rounded(lexicon.ngram_scores(_segments(s, d), _ngram_lexicon(s, d), parent_col="source", stemmed=False)).select("doc_id", *[(F.col(c) + 0.0).alias(c) for c in ("mp", "ec")]),
+    _NGRAM,
+)
 _add("ngram_scores_stemmed", lambda s, d: lexicon.ngram_scores(_segments(s, d), _ngram_lexicon(s, d), parent_col="source"))
 
 # ---- counts and posteriors -------------------------------------------------------------------------------------------

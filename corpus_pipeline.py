@@ -16,15 +16,21 @@ from tonearc.llm.toxicity import score_toxicity
 _COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: Lost ids up to this number (8 bytes each) are broadcast to the documents, more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
 def _without(docs: DataFrame, lost: DataFrame) -> DataFrame:
     """docs without the ids of lost (distinct ids); a null id is never lost."""
-    return docs.join(lost, "doc_id", "left_anti").select(*_COLUMNS)
+    lost = saved(lost.select("doc_id").distinct(), "lost-ids")
+    few = lost.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(lost) if few else lost, "doc_id", "left_anti").select(*_COLUMNS)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _without(docs, score_toxicity(docs, labels, threshold=0.3).where("predicted = 1").select("doc_id").distinct())
+    return _without(docs, score_toxicity(docs, labels, threshold=0.3).where("predicted = 1"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +42,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the smallest id stays."""
     found = near_duplicates(docs, threshold=0.6, n=3, trees=36, recall=0.99)
-    return _without(docs, found.where(F.col("doc_id") != F.col("group_id")).select("doc_id").distinct())
+    return _without(docs, found.where(F.col("doc_id") != F.col("group_id")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items go."""
-    return _without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct())
+    return _without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

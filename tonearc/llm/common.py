@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -32,13 +33,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: lineage ends there, and a lost executor takes nothing with it."""
+#: Paths written since each open scratch() began.
+_SCRATCH: list[list[str]] = []
+
+
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df written to the shared folder and read back: lineage ends there, and a lost executor takes nothing with it.
+    keep: it outlives an open scratch()."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is saved inside is deleted at the end; the result must have been saved with keep by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns, under names of our own, so that no other column can clash."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

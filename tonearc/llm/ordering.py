@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,23 +23,20 @@ def with_next(docs: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
     parts = C.partitions(spark)
     named = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("order"))
     points = named.agg(F.percentile_approx("order", [i / parts for i in range(1, parts)], 10000)).first()[0] if parts > 1 else []
-    points = sorted(set(points or []))
-    bounds = F.array(*[F.lit(int(p)) for p in points]) if points else F.array().cast("array<long>")
-    own = F.size(F.filter(bounds, lambda p: p <= F.col("order"))) if points else F.lit(0)
-    placed = named.withColumn("part", own)
-    firsts = sorted(placed.groupBy("part").agg(F.min("order").alias("first")).collect())  # a row per stretch
+    splits = [-math.inf, *sorted({float(p) for p in points or []}), math.inf]
+    if len(splits) > 2:  # binary search by row; doubles keep the order of ids, which is all that counts
+        placed = Bucketizer(splits=splits, inputCol="place", outputCol="bucket").transform(named.withColumn("place", F.col("order").cast("double"))).select("doc_id", "text", "order", F.col("bucket").cast("int").alias("part"))
+    else:
+        placed = named.withColumn("part", F.lit(0))
+    firsts = sorted((r["part"], r["first"]) for r in placed.groupBy("part").agg(F.min("order").alias("first")).collect())  # a row per stretch
     if not firsts:
         return docs.select("doc_id", "text", F.col("text").alias("next")).mapInArrow(lambda b: (work(x) for x in b), schema)
-    used = [r["part"] for r in firsts]
-    before = {r["first"]: used[i - 1] for i, r in enumerate(firsts)}
     # The first row of a stretch among rows of one id is settled by its text.
-    heads = placed.where(F.col("order").isin(list(before))).groupBy("order").agg(F.min("text").alias("text"))
-    back = F.create_map(*[F.lit(x) for k, v in before.items() for x in (int(k), int(v))])
-    extra = heads.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(2**63 - 1).alias("order"), back[F.col("order")].alias("part"), F.lit(True).alias("guest"))
-    rows = placed.withColumn("guest", F.lit(False)).unionByName(extra)
-    slot = {p: i for i, p in enumerate(used)}
-    index = F.create_map(*[F.lit(x) for k, v in slot.items() for x in (int(k), int(v))])[F.col("part")]
-    spread = rows.repartitionById(len(used), index).sortWithinPartitions("guest", "order", "text").select("doc_id", "text", "guest")
+    heads = placed.where(F.col("order").isin([first for _, first in firsts])).groupBy("order").agg(F.min("text").alias("text"))
+    back = spark.createDataFrame([(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)], "order long, part int")
+    guests = heads.join(F.broadcast(back), "order").select(F.lit(None).cast("long").alias("doc_id"), "text", "order", "part", F.lit(True).alias("guest"))
+    rows = placed.withColumn("guest", F.lit(False)).unionByName(guests)
+    spread = rows.repartitionById(len(splits) - 1, "part").sortWithinPartitions("guest", "order", "text").select("doc_id", "text", "guest")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None

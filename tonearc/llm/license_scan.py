@@ -181,7 +181,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, phrases
             kind = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("similarity", pa.float64())]))
             yield pa.RecordBatch.from_arrays([step.column("doc_id"), pa.array(out, kind)], ["doc_id", "spans"])
 
-    few = voted.count() * 200 <= C.BROADCAST_BYTES
+    few = (voted.agg(F.sum(F.size("runs") * 40 + 60)).first()[0] or 0) <= C.BROADCAST_BYTES
     chosen = text.where(F.col("doc_id").isNotNull()).join(F.broadcast(voted) if few else voted, "doc_id")
     spans = chosen.mapInArrow(verify, "doc_id long, spans array<struct<label:string,first:int,last:int,similarity:double>>")
     spans = spans.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))

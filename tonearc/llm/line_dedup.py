@@ -14,6 +14,7 @@ points that at least two documents hold lose all their lines except in the small
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -169,8 +170,11 @@ def repeated_keys(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id",
     confirmed = C.saved(counted.where(~F.col("first").eqNullSafe(F.col("last"))).select("key", F.col("first.doc_id").alias("first_id"), "n"), "repeated-lines")
     least = max(1, int(held.count() * HOT_SHARE))
     hot, rest = confirmed.where(F.col("n") >= least), confirmed.where(F.col("n") < least)
-    joined = [held.join(F.broadcast(hot), "key"), held.join(F.broadcast(hot).select("key"), "key", "left_anti").join(rest, "key")]
-    return joined[0].unionByName(joined[1]).where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "key")
+    if (hot.agg(F.sum(F.length("key"))).first()[0] or 0) > C.BROADCAST_BYTES:  # few keys, but of very long lines
+        joined = [held.join(confirmed, "key")]
+    else:
+        joined = [held.join(F.broadcast(hot), "key"), held.join(F.broadcast(hot).select("key"), "key", "left_anti").join(rest, "key")]
+    return reduce(DataFrame.unionByName, joined).where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "key")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

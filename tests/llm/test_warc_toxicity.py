@@ -125,6 +125,29 @@ def test_ratio_is_a_difference_of_distributions():
     assert ratio(np.array([(1 << 40) - 1])).tolist() == [0.0]
 
 
+@pytest.mark.parametrize("block", [24 << 20, 1])
+def test_no_expression_is_too_rare_to_count(spark, monkeypatch, block):
+    """An expression seen once among nine million places still tells, and evidence is that of all n-grams counted."""
+    monkeypatch.setattr(toxicity, "BLOCK_BYTES", block, raising=False)
+    learnt = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 < 2]
+    text = {learnt[0]: ("stone ", 1_500_000), learnt[1]: ("green zorgish river", 1), learnt[2]: ("green river été", 1), 1000: ("stone zorgish zorga", 2), 1001: ("日本 unheard", 1), 1002: (" ", 1)}
+    docs = spark.createDataFrame([(i, *t) for i, t in text.items()], "doc_id long, t string, n int").selectExpr("doc_id", "repeat(t, n) as text").repartition(2)
+    labels = spark.createDataFrame([(i, int(i == learnt[1])) for i in learnt[:3]], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert got[1000].most > 3 and got[1000].mean_ratio > 0 and got[learnt[1]].mean_ratio > 0
+    split = {i: (t * min(n, 2)).lower().encode().split() for i, (t, n) in text.items()}
+    counts = {}
+    for i in learnt[:3]:
+        for g in toxicity.grams(split[i])[0].tolist():
+            counts.setdefault(g, [0, 0])[int(i == learnt[1])] += text[i][1] // min(text[i][1], 2)
+    ratio = toxicity.Ratio(np.array(list(counts)), np.array(list(counts.values())).T)
+    for i, pieces in split.items():
+        gram, word, size = toxicity.grams(pieces or [b"-"])
+        own = np.bincount(word, weights=ratio(gram)) if pieces else np.zeros(1)
+        want = [own.sum() / size.sum(), own.max(), np.log1p(np.maximum(own - 3, 0).sum() if text[i][1] < 3 else 0)]
+        assert np.allclose([got[i].mean_ratio, got[i].most, got[i].large], want, atol=1e-5)
+
+
 def test_pipeline(spark, tmp_path, rows):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     from tests.llm.test_similarity import brute_near

@@ -4,9 +4,11 @@ Each class has its own counts of letter n-grams of the highest order; below them
 counts, so an expression that neither class has seen costs both alike, and what tells the classes apart is where one of
 them has evidence. Letters are reduced to 32 symbols (a-z, digits, word boundary, four for other letters).
 
-N-grams are counted over all labelled documents that may be learnt from. Those that make up less than a share of
-CUTOFF of all places are left to the backoff, so at most 1 / CUTOFF of them exist in a model, whatever the corpus: that
-bounds what reaches the driver and what is broadcast.
+N-grams are counted over all labelled documents that may be learnt from, and all of them stay in the model, which is a
+table: n-grams go to buckets by the SHARED letters before the last, so that all that n-grams of more than SHARED letters
+need is in one bucket. The continuation counts of SHARED letters and fewer (32^4 rows at most, the alphabet's own size)
+are counted over the whole table and broadcast. Documents are handled a block at a time: a block asks each bucket once
+for its distinct n-grams, and sums up the answers for its words.
 
 A document's evidence: the length-normalised difference of its log-likelihoods, the largest difference of a single
 expression, and the sum of the large ones. A logistic model of these three, fitted on labelled documents that the
@@ -15,18 +17,23 @@ n-grams were not counted on, gives the score.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonearc.llm import common as C
 
-ORDER, SYMBOLS = 8, 32
-CUTOFF = 2.0**-22
+ORDER, SYMBOLS, SHARED = 8, 32, 4
 _BITS = 5
+#: Ratios are added up as whole numbers of 1 / SCALE, so that sums do not depend on the order.
+SCALE = 1 << 24
+#: Bytes of text in a block of documents.
+BLOCK_BYTES = 24 << 20
 #: First bytes of longer UTF-8 letters count for nothing, the bytes after them as one of four symbols.
 _SYMBOL = np.array([b - 96 if 97 <= b <= 122 else 27 if 48 <= b <= 57 else 28 + b % 4 if 128 <= b < 192 else 0 for b in range(256)], np.int64)
 #: Labels up to this number of rows are broadcast to the documents, more are joined by a shuffle.
@@ -57,11 +64,54 @@ def grams(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return packed[C.ragged(first[:-1] + ORDER - 1, size + 1)], np.repeat(np.arange(len(pieces)), size + 1), size + 1
 
 
+def _last(gram, n: int):
+    """The last n letters (of an array or a column)."""
+    mask = (1 << _BITS * n) - 1
+    return gram.bitwiseAND(mask) if isinstance(gram, Column) else gram & mask
+
+
+def _bucket(gram, buckets: int):
+    """Bucket of n-grams (of an array or a column), by the SHARED letters before the last, which are scattered."""
+    context = _last(F.shiftright(gram, _BITS) if isinstance(gram, Column) else gram >> _BITS, SHARED)
+    return (context * 0x9E3779B1 % 4294967291 % buckets).cast("int") if isinstance(gram, Column) else context * 0x9E3779B1 % 4294967291 % buckets
+
+
+def _levels(own: np.ndarray, n: int, least: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of own's endings of n, n - 1, ... least letters: (distinct endings, index of each of the level before, how many
+    of the level before end so)."""
+    out = []
+    for k in range(n, least - 1, -1):
+        own, where, many = C.distinct(_last(own, k))
+        out.append((own, where, many))
+    return out
+
+
+def _smooth(levels: list, p: np.ndarray, below: np.ndarray, discount: float) -> np.ndarray:
+    """Probabilities of the last letters of the level before levels[0], out of p[below] for the last level's backoff."""
+    for own, where, many in reversed(levels):
+        _, group, kinds = C.distinct(own >> _BITS)
+        total = np.bincount(group, weights=many)[group]
+        p = np.maximum(many - discount, 0) / total + discount * kinds[group] / total * p[below]
+        below = where
+    return p[below]
+
+
+def shared_backoff(own: np.ndarray, many: np.ndarray, discount: float = 0.75) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams of SHARED letters ascending, probability of the last letter of each) from their continuation counts."""
+    order = np.argsort(own)
+    own, many = own[order], many[order]
+    if not len(own):
+        return own, np.zeros(0)
+    levels = [(own, np.arange(len(own)), many), *_levels(own, SHARED - 1, 1)]
+    return own, _smooth(levels, np.full(1, 1 / SYMBOLS), np.zeros(len(levels[-1][0]), np.int64), discount)
+
+
 class Ratio:
     """log p(last letter | those before, toxic) - log p(last letter | those before, ordinary)."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, discount: float = 0.75):
-        """keys: distinct packed n-grams; counts: [ordinary, toxic] of each."""
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, discount: float = 0.75, shared: tuple[np.ndarray, np.ndarray] | None = None):
+        """keys: distinct packed n-grams; counts: [ordinary, toxic] of each. With shared (of shared_backoff), the keys
+        may be part of a model: all those whose SHARED letters before the last are among theirs."""
         order = np.argsort(keys)
         self.keys, counts = keys[order], counts[:, order]
         self.heads, head, _ = C.distinct(self.keys >> _BITS)
@@ -69,18 +119,13 @@ class Ratio:
             self.seen = self.unseen = np.zeros(0, np.float32)
             return
         # Continuation counts, shared by the classes: of each shorter n-gram, how many letters come before it.
-        levels, own = [], self.keys
-        for n in range(ORDER - 1, 0, -1):
-            own, where, many = C.distinct(own & ((1 << _BITS * n) - 1))
-            levels.append((own, where, many))
-        p = np.full(1, 1 / SYMBOLS)
-        below = np.zeros(len(levels[-1][0]), np.int64)
-        for own, where, many in reversed(levels):
-            _, group, kinds = C.distinct(own >> _BITS)
-            total = np.bincount(group, weights=many)[group]
-            p = np.maximum(many - discount, 0) / total + discount * kinds[group] / total * p[below]
-            below = where
-        p = p[below]
+        if shared is None:
+            levels = _levels(self.keys, ORDER - 1, 1)
+            p, below = np.full(1, 1 / SYMBOLS), np.zeros(len(levels[-1][0]), np.int64)
+        else:
+            levels = _levels(self.keys, ORDER - 1, SHARED + 1)
+            p, below = shared[1], np.searchsorted(shared[0], _last(levels[-1][0], SHARED))
+        p = _smooth(levels, p, below, discount)
         logs, rests = [], []
         for n in counts:
             total, kinds = np.bincount(head, weights=n), np.bincount(head, weights=n > 0)
@@ -119,32 +164,139 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield C.batch(_GRAM, keys, *n)
 
 
+def ratios(counted: DataFrame, requests: DataFrame, buckets: int) -> DataFrame:
+    """block, bucket, answer (ratios in 1 / SCALE) to requests (block, bucket, grams: ascending) by the model of counted
+    (gram, ordinary, toxic; each n-gram once)."""
+    spark = counted.sparkSession
+    fives = counted.select(_last(F.col("gram"), SHARED + 1).alias("gram")).distinct()
+    fours = fives.groupBy(_last(F.col("gram"), SHARED).alias("gram")).count().toArrow()  # SYMBOLS ** SHARED rows at most
+    base = spark.sparkContext.broadcast(shared_backoff(fours["gram"].to_numpy(), fours["count"].to_numpy()))
+
+    def answer(known: pa.Table, asked: pa.Table) -> pa.Table:
+        ratio = Ratio(known["gram"].to_numpy(), np.array([known["ordinary"].to_numpy(), known["toxic"].to_numpy()]), shared=base.value)
+        out = []
+        for blob in asked["grams"]:
+            low, high = _loose(blob.as_py())
+            got = np.rint(ratio(np.cumsum(low | high << 32)).astype(float) * SCALE).astype(np.int64)
+            out.append(_planes(got + (1 << 31)))  # ratios are far below 128
+        return pa.table([asked["block"], asked["bucket"], pa.array(out, pa.binary())], ["block", "bucket", "answer"])
+
+    mine = counted.withColumn("bucket", _bucket(F.col("gram"), buckets)).groupBy("bucket")
+    return mine.cogroup(requests.groupBy("bucket")).applyInArrow(answer, "block string, bucket int, answer binary")
+
+
 _EVIDENCE = ["mean_ratio", "most", "large"]
+_BLOCK = pa.schema([("block", pa.string()), ("words", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("letters", pa.list_(pa.int64())), ("terms", pa.binary())])
 
 
-def evidence(docs: DataFrame, ratio: Ratio, id_col: str = "doc_id", text_col: str = "text", large: float = 3.0) -> DataFrame:
-    """doc_id, mean_ratio (a letter), most, large of every row; a text without words has 0 in all three."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+def _planes(a: np.ndarray) -> bytes:
+    """Numbers under 2^32, compressed with low bytes apart from high ones, after the size."""
+    out = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    return len(out).to_bytes(4, "little") + out
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for step in C.text_steps(batches):
-            buf, rows = C.text_bytes(step.column("text"))
-            low, starts, ends, first = C.words(buf, rows)
-            code, pieces = C.distinct_pieces(low, starts, ends)
-            out = np.zeros((3, len(rows) - 1))
-            if pieces:
-                gram, word, size = grams(pieces)
-                own = np.bincount(word, weights=table(gram), minlength=len(pieces))[code]
-                letters = size[code]
+
+def _loose(blob: bytes) -> Iterator[np.ndarray]:
+    """What _planes made, one after the other."""
+    while blob:
+        n = int.from_bytes(blob[:4], "little")
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4 : 4 + n]), np.uint8)
+        yield np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+        blob = blob[4 + n :]
+
+
+class _Block:
+    """Distinct words of the steps so far, and their frequencies in documents."""
+
+    def __init__(self):
+        self.code: dict[bytes, int] = {}
+        self.ids: list[int | None] = []
+        self.letters: list[np.ndarray] = []
+        self.terms: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, step: pa.RecordBatch) -> None:
+        buf, rows = C.text_bytes(step.column("text"))
+        low, starts, ends, first = C.words(buf, rows)
+        code, pieces = C.distinct_pieces(low, starts, ends)
+        own = np.array([self.code.setdefault(p, len(self.code)) for p in pieces], np.int64)
+        size = np.array([sum(c < 192 for c in p) + 1 for p in pieces], np.int64)
+        doc = np.repeat(np.arange(len(rows) - 1), np.diff(first))
+        self.letters.append(np.bincount(doc, weights=size[code] if len(size) else None, minlength=len(rows) - 1).astype(np.int64))
+        pair, n = np.unique(doc << 32 | (own[code] if len(own) else code), return_counts=True)
+        term, per_doc = pair & 0xFFFFFFFF, np.bincount(pair >> 32, minlength=len(rows) - 1)
+        step_by = np.diff(term, prepend=0)  # terms of a document ascend: differences
+        head = C.prefix(per_doc)[:-1][per_doc > 0]
+        step_by[head] = term[head]
+        self.terms.append((per_doc, step_by, n))
+        self.ids += step.column("doc_id").to_pylist()
+        self.size += int(rows[-1])
+
+    def row(self) -> pa.RecordBatch:
+        terms = b"".join(_planes(np.concatenate(x)) for x in zip(*self.terms))
+        return C.batch(_BLOCK, [uuid.uuid4().hex], [zstandard.ZstdCompressor(level=3).compress(b" ".join(self.code))], pa.array([self.ids], pa.list_(pa.int64())), pa.array([np.concatenate(self.letters)], pa.list_(pa.int64())), [terms])
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    block = _Block()
+    for step in C.text_steps(batches):
+        block.add(step)
+        if block.size >= BLOCK_BYTES:
+            yield block.row()
+            block = _Block()
+    if block.ids:
+        yield block.row()
+
+
+def _spelled(words: bytes, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of a block: (distinct n-grams by bucket, ascending in each; where each bucket starts, one more than
+    buckets; the place there of each n-gram of each word; the word of each)."""
+    gram, word, _ = grams(zstandard.ZstdDecompressor().decompress(words).split())
+    own, which, _ = C.distinct(gram)
+    bucket = _bucket(own, buckets)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(own), np.int64)
+    place[order] = np.arange(len(own))
+    return own[order], np.searchsorted(bucket[order], np.arange(buckets + 1)), place[which], word
+
+
+def evidence(docs: DataFrame, counted: DataFrame, id_col: str = "doc_id", text_col: str = "text", large: float = 3.0) -> DataFrame:
+    """doc_id, mean_ratio (a letter), most, large of every row by the n-grams in counted (gram, ordinary, toxic; each
+    n-gram once); a text without words has 0 in all three."""
+    buckets = C.partitions(docs.sparkSession)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, words in zip(b.column("block").to_pylist(), b.column("words").to_pylist()):
+                own, first, _, _ = _spelled(words, buckets)
                 some = np.flatnonzero(np.diff(first))
-                begin = first[some]
-                out[0, some] = np.add.reduceat(own, begin) / np.add.reduceat(letters, begin)
-                out[1, some] = np.maximum.reduceat(own, begin)
-                out[2, some] = np.log1p(np.add.reduceat(np.maximum(own - large, 0), begin))
-            yield pa.RecordBatch.from_arrays([step.column("doc_id"), *map(pa.array, out)], ["doc_id", *_EVIDENCE])
+                steps = [np.diff(own[first[k] : first[k + 1]], prepend=0) for k in some.tolist()]
+                blobs = [_planes(x & 0xFFFFFFFF) + _planes(x >> 32) for x in steps]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["block", "bucket", "grams"])
 
-    return C.id_and_text(docs, id_col, text_col).mapInArrow(score, "doc_id long, mean_ratio double, most double, large double")
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = round(large * SCALE)
+        for b in batches:
+            for ids, letters, words, blob, answers in zip(*(b.column(c) for c in ("doc_id", "letters", "words", "terms", "answers"))):
+                per_doc, term, n = _loose(blob.as_py())
+                out = np.zeros((3, len(per_doc)))
+                if len(term):
+                    found = sorted((x["bucket"], x["answer"]) for x in answers.as_py())
+                    ratio = np.concatenate([next(_loose(x)) for _, x in found]) - (1 << 31)
+                    _, _, place, word = _spelled(words.as_py(), buckets)
+                    own = np.add.reduceat(ratio[place], np.flatnonzero(np.diff(word, prepend=-1)))
+                    some = np.flatnonzero(per_doc)
+                    begin = C.prefix(per_doc)[some]
+                    run = np.cumsum(term)
+                    own = own[run - np.repeat(run[begin] - term[begin], per_doc[some])]
+                    out[0, some] = np.add.reduceat(own * n, begin) / SCALE / letters.values.to_numpy()[some]
+                    out[1, some] = np.maximum.reduceat(own, begin) / SCALE
+                    out[2, some] = np.log1p(np.add.reduceat(np.maximum(own - least, 0) * n, begin) / SCALE)
+                yield pa.RecordBatch.from_arrays([ids.values, *map(pa.array, out)], ["doc_id", *_EVIDENCE])
+
+    made = C.saved(C.id_and_text(docs, id_col, text_col).mapInArrow(blocks, "block string, words binary, doc_id array<long>, letters array<long>, terms binary"), "toxic-blocks")
+    requests = made.select("block", "words").mapInArrow(ask, "block string, bucket int, grams binary")
+    answers = ratios(counted, requests, buckets).groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
+    return made.join(answers, "block", "left").mapInArrow(score, "doc_id long, mean_ratio double, most double, large double")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -178,11 +330,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, c
     text = C.id_and_text(docs, id_col, text_col)
     train = text.join(small(known.where(fold(F.col("doc_id")).isin(0, 1))), "doc_id").select("text", "toxic")
     tally = train.mapInArrow(_count, "gram long, ordinary long, toxic long").groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    tally = C.saved(tally, "letter-counts")
-    places = tally.agg(F.sum(F.col("ordinary") + F.col("toxic"))).first()[0] or 0
-    found = tally.where(F.col("ordinary") + F.col("toxic") >= max(1.0, places * CUTOFF)).toArrow()  # 1 / CUTOFF rows at most
-    ratio = Ratio(found["gram"].to_numpy(), np.array([found["ordinary"].to_numpy(), found["toxic"].to_numpy()]))
-    scored = C.saved(evidence(text, ratio), "toxic-evidence")
+    scored = C.saved(evidence(text, C.saved(tally, "letter-counts")), "toxic-evidence")
     sample = scored.join(small(known.where(fold(F.col("doc_id")) == 3)), "doc_id").orderBy(F.xxhash64("doc_id"), *_EVIDENCE).limit(calibration_rows).toArrow()
     y = sample["toxic"].to_numpy().astype(float)
     if len(y) and 0 < y.sum() < len(y):

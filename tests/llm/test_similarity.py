@@ -186,6 +186,17 @@ def test_decontamination(spark, items):
     assert decontamination.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_judges_each_placement(spark):
+    """Items that match themselves crosswise, and documents with an item and its variant."""
+    cakes = "On Monday he sold {} cakes, on Tuesday he sold {} cakes, on Wednesday he sold {} cakes, how many cakes did he sell in all of these days"
+    apples = "If {} buys {} apples for {} dollars, how much does {} pay for {} apples at the same price per apple today"
+    one, other = apples.format("Alice", 12, 30, "Alice", 40), apples.format("Bob", 7, 55, "Bob", 90)
+    items = spark.createDataFrame([(1, cakes.format(5, 7, 9)), (2, one)], "item_id long, text string")
+    text = {1: "So. " + cakes.format(5, 7, 9) + ". End.", 2: f"So. {one}? Then. {other}? End.", 3: apples.format("Bob", 7, 55, "Carol", 7)}
+    got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(spark.createDataFrame(list(text.items()), "doc_id long, text string"), items).collect()}
+    assert set(got) == {(1, 1), (2, 2)} and got[1, 1].exact and got[2, 2].exact and got[2, 2].coverage == 1
+
+
 def test_decontamination_by_shuffle(spark, items, monkeypatch):
     monkeypatch.setattr(decontamination, "FILTER_WINDOWS", 0)
     docs = spark.createDataFrame([(5, "x the quick brown fox jumps over the lazy dog while seven silver lamps light up a quiet garden y")], "doc_id long, text string")

@@ -3,7 +3,9 @@
 Numbers, names (capitalised words that no sentence starts with) and units after a number become typed placeholders;
 neighbouring placeholders of a type become one. Every window of `window` template tokens of a document that an item
 also has is a hit, if enough of its tokens are literal; items of fewer tokens are one window. What stands in the slots
-of hits must fit: one value of the item always meets the same value of the document, and the other way round.
+of hits must fit: one value of the item always meets the same value of the document, and the other way round. Hits are
+judged by placement (diagonal: place in the document minus place in the item), by runs of neighbouring placements, and
+all together; a pair counts if any of these passes.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearc.llm import common as C
@@ -111,9 +113,10 @@ def _rows(names: pa.Array, row, at, h, slots, begin, total: int, size: int) -> p
     return pa.RecordBatch.from_arrays(cols, ["name", "at", "hash", "slots", "total", "size"])
 
 
-def contaminated(docs: DataFrame, items: DataFrame, window: int = 8, literal: float = 0.5, coverage: float = 0.3, consistency: float = 0.9, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Pairs (doc_id, item_id) where the document holds at least a share `coverage` of the item's windows, with
-    consistent slots: n_windows (of the item, found), coverage, consistency, exact (all slots hold the item's own
+def contaminated(docs: DataFrame, items: DataFrame, window: int = 8, literal: float = 0.5, coverage: float = 0.3, consistency: float = 0.9, drift: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """Pairs (doc_id, item_id) where a placement, a run of placements at most `drift` tokens apart, or all hits together
+    hold at least a share `coverage` of the item's windows, with consistent slots; of the one that passes (exact ones
+    first, then that of most windows): n_windows (of the item, found), coverage, consistency, exact (all slots hold the item's own
     values), first_token and last_token (template tokens of the document).
 
     A null or empty text matches nothing, nor does an item without a window of enough literal tokens; null ids are not
@@ -127,11 +130,19 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 8, literal: fl
     shared = spark.sparkContext.broadcast(np.unique(known.select("hash").toArrow()["hash"].to_numpy()).view(np.uint64)) if small else None
     mine = _table(text, sizes, literal, window, shared).select(F.col("name").alias("doc_id"), F.col("at").alias("doc_at"), "hash", F.col("slots").alias("doc_slots"))
     theirs = known.select(F.col("name").alias("item_id"), F.col("at").alias("item_at"), "hash", "slots", "total")
-    hits = C.saved(mine.join(F.broadcast(theirs) if small else theirs, "hash"), "item-hits")
+    hits = mine.join(F.broadcast(theirs) if small else theirs, "hash").withColumn("diagonal", F.col("doc_at") - F.col("item_at"))
     pair = ["doc_id", "item_id"]
-    found = hits.groupBy(*pair).agg(F.countDistinct("item_at").alias("n_windows"), F.max("total").alias("total"), F.min("doc_at").alias("first_token"), F.max("doc_at").alias("last_token"))
+    order = Window.partitionBy(*pair).orderBy("diagonal")
+    new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > drift).cast("int"), F.lit(0))
+    merged = hits.withColumn("new", new).withColumn("run", F.sum("new").over(order.rangeBetween(Window.unboundedPreceding, 0)))
+    parts = F.array(F.lit("all"), F.concat(F.lit("run "), F.col("run").cast("string")), F.concat(F.lit("at "), F.col("diagonal").cast("string")))
+    hits = C.saved(merged.withColumn("part", F.explode(parts)).drop("new", "run", "diagonal"), "item-hits")
+    part = [*pair, "part"]
+    found = hits.groupBy(*part).agg(F.countDistinct("item_at").alias("n_windows"), F.max("total").alias("total"), F.min("doc_at").alias("first_token"), F.max("doc_at").alias("last_token"))
     found = found.withColumn("coverage", F.col("n_windows") / F.col("total")).where(F.col("coverage") >= coverage)
-    slots = hits.where(F.size("slots") > 0).select(*pair, F.explode(F.arrays_zip(F.col("slots").alias("theirs"), F.col("doc_slots").alias("mine"))).alias("s")).select(*pair, "s.theirs", "s.mine").distinct()
-    fit = slots.groupBy(*pair).agg((F.least(F.countDistinct("theirs"), F.countDistinct("mine")) / F.count(F.lit(1))).alias("consistency"), F.min((F.col("theirs") == F.col("mine")).cast("int")).alias("own"))
-    out = found.join(fit, pair, "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0))).where(F.col("consistency") >= consistency)
-    return out.select(*pair, "n_windows", "coverage", "consistency", (F.coalesce("own", F.lit(1)) == 1).alias("exact"), "first_token", "last_token")
+    slots = hits.where(F.size("slots") > 0).select(*part, F.explode(F.arrays_zip(F.col("slots").alias("theirs"), F.col("doc_slots").alias("mine"))).alias("s")).select(*part, "s.theirs", "s.mine").distinct()
+    fit = slots.groupBy(*part).agg((F.least(F.countDistinct("theirs"), F.countDistinct("mine")) / F.count(F.lit(1))).alias("consistency"), F.min((F.col("theirs") == F.col("mine")).cast("int")).alias("own"))
+    out = found.join(fit, part, "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0))).where(F.col("consistency") >= consistency)
+    out = out.withColumn("exact", F.coalesce(F.col("own"), F.lit(1)) == 1)
+    best = F.max_by(F.struct("n_windows", "coverage", "consistency", "exact", "first_token", "last_token"), F.struct("exact", "n_windows", "consistency", "part")).alias("best")
+    return out.groupBy(*pair).agg(best).select(*pair, "best.*")

@@ -197,6 +197,14 @@ def test_decontamination_judges_each_placement(spark):
     assert set(got) == {(1, 1), (2, 2)} and got[1, 1].exact and got[2, 2].exact and got[2, 2].coverage == 1
 
 
+def test_decontamination_finds_items_without_literal_windows(spark):
+    """Arithmetic and name tables stand verbatim in documents, whatever stands around them."""
+    items = spark.createDataFrame([(1, "12 + 7 - 3 = 16"), (2, "Ann Lee 4, Bob Ray 5, Carl Orr 6, Dora Poe 7, Emil Fox 8"), (3, "9 8 7")], "item_id long, text string")
+    text = {1: "so 5 12 + 7 - 3 = 16 44 and", 2: "Names: ann lee 4, Bob Ray 5, Carl Orr 6, Dora Poe 7, Emil Fox 8.", 3: "count 10 9 8 7 6", 4: "7 8 9 and 12 + 7 - 4 = 15, Ann Lee 5", 5: ""}
+    got = decontamination.contaminated(spark.createDataFrame(list(text.items()), "doc_id long, text string"), items).collect()
+    assert sorted((r.doc_id, r.item_id, r.exact, r.coverage) for r in got) == [(1, 1, True, 1.0), (2, 2, True, 1.0), (3, 3, True, 1.0)]
+
+
 def test_decontamination_by_shuffle(spark, items, monkeypatch):
     monkeypatch.setattr(decontamination, "FILTER_WINDOWS", 0)
     docs = spark.createDataFrame([(5, "x the quick brown fox jumps over the lazy dog while seven silver lamps light up a quiet garden y")], "doc_id long, text string")

@@ -6,6 +6,9 @@ also has is a hit, if enough of its tokens are literal; items of fewer tokens ar
 of hits must fit: one value of the item always meets the same value of the document, and the other way round. Hits are
 judged by placement (diagonal: place in the document minus place in the item), by runs of neighbouring placements, and
 all together; a pair counts if any of these passes.
+
+Items with windows of too few literal tokens are also looked for as they are: all windows of `window` lower-cased words
+(A-Z), all words of items of fewer, joined by hash.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from tonearc.llm.windows import FILTER_WINDOWS, Known, windows
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 UNITS = frozenset(b"km m cm mm mi mile miles ft feet foot inch inches yd kg g mg lb lbs oz l ml s sec second seconds min minute minutes h hour hours day days week weeks month months year years usd eur dollar dollars cent cents euro euros percent degrees mph kmh kw kwh w v hz gb mb tb".split())
 _WORD = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(256)])
+#: Seed of words' hashes where they stand for themselves, so that they never meet template tokens.
+_SALT = 1
 _STOP = np.array([c in b".!?:\n" for c in range(256)])
 
 
@@ -87,8 +92,27 @@ def _found(column: pa.Array, sizes: list[int], least: float, known: Known | None
     return row, at - first[row], h, value[slot[C.ragged(a, z - a)]].view(np.int64), C.prefix(z - a), np.diff(first)
 
 
-def _table(source: DataFrame, sizes: list[int] | None, least: float, window: int, known=None) -> DataFrame:
-    """name, at, hash, slots (and for the items, total: their windows) of every window of source (name, text)."""
+def _verbatim(column: pa.Array, sizes: list[int], known: Known | None):
+    """What _found gives, of windows of words as they are: no slots, all windows count."""
+    low, starts, ends, first = C.words(*C.text_bytes(column))
+    code, pieces = C.distinct_pieces(low, starts, ends)
+    word = np.array([xxhash.xxh3_64_intdigest(p, _SALT) for p in pieces], np.uint64)[code]
+    out = [np.zeros((2, 0), np.uint64)]
+    for n in sizes:
+        at, h = windows(word, first, n)
+        if known is not None:
+            own = known.where(h)
+            at, h = at[own], h[own]
+        out.append(np.array([at.astype(np.uint64), h]))
+    at, h = np.concatenate(out, axis=1)
+    at = at.astype(np.int64)
+    row = np.searchsorted(first, at, side="right") - 1
+    return row, at - first[row], h, np.zeros(0, np.int64), np.zeros(len(at) + 1, np.int64), np.diff(first)
+
+
+def _table(source: DataFrame, sizes: dict[bool, list[int]] | None, least: float, window: int, known=None) -> DataFrame:
+    """name, at, hash, slots, verbatim (and for the items, total: their windows) of every window of source (name, text).
+    sizes: of template windows and of verbatim ones."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = Known(known.value) if known is not None else None
@@ -101,16 +125,23 @@ def _table(source: DataFrame, sizes: list[int] | None, least: float, window: int
                     if n:
                         row, at, h, slots, begin, _ = _found(own.slice(k, 1), [n], least, None)
                         yield _rows(step.column("name").slice(k, 1), row, at, h, slots, begin, len(at), n)
+                        if len(at) < tokens - n + 1:
+                            n = min(window, int(_verbatim(own.slice(k, 1), [], None)[5][0]))
+                            row, at, h, slots, begin, _ = _verbatim(own.slice(k, 1), [n], None)
+                            yield _rows(step.column("name").slice(k, 1), row, at, h, slots, begin, len(at), n, True)
             else:
-                row, at, h, slots, begin, _ = _found(own, sizes, least, test)
+                row, at, h, slots, begin, _ = _found(own, sizes[False], least, test)
                 yield _rows(step.column("name"), row, at, h, slots, begin, 0, 0)
+                if sizes[True]:
+                    row, at, h, slots, begin, _ = _verbatim(own, sizes[True], test)
+                    yield _rows(step.column("name"), row, at, h, slots, begin, 0, 0, True)
 
-    return source.mapInArrow(make, "name long, at long, hash long, slots array<long>, total long, size int")
+    return source.mapInArrow(make, "name long, at long, hash long, slots array<long>, total long, size int, verbatim boolean")
 
 
-def _rows(names: pa.Array, row, at, h, slots, begin, total: int, size: int) -> pa.RecordBatch:
-    cols = [names.take(pa.array(row)), pa.array(at), pa.array(h.view(np.int64)), C.lists(slots, begin, pa.int64()), pa.array(np.full(len(at), total, np.int64)), pa.array(np.full(len(at), size, np.int32))]
-    return pa.RecordBatch.from_arrays(cols, ["name", "at", "hash", "slots", "total", "size"])
+def _rows(names: pa.Array, row, at, h, slots, begin, total: int, size: int, verbatim: bool = False) -> pa.RecordBatch:
+    cols = [names.take(pa.array(row)), pa.array(at), pa.array(h.view(np.int64)), C.lists(slots, begin, pa.int64()), pa.array(np.full(len(at), total, np.int64)), pa.array(np.full(len(at), size, np.int32)), pa.array(np.full(len(at), verbatim))]
+    return pa.RecordBatch.from_arrays(cols, ["name", "at", "hash", "slots", "total", "size", "verbatim"])
 
 
 def contaminated(docs: DataFrame, items: DataFrame, window: int = 8, literal: float = 0.5, coverage: float = 0.3, consistency: float = 0.9, drift: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -119,30 +150,32 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 8, literal: fl
     first, then that of most windows): n_windows (of the item, found), coverage, consistency, exact (all slots hold the item's own
     values), first_token and last_token (template tokens of the document).
 
-    A null or empty text matches nothing, nor does an item without a window of enough literal tokens; null ids are not
+    A pair found by the words as they are alone has windows and places of words instead of template tokens, and is exact.
+    A null or empty text matches nothing, nor does an item without a word; null ids are not
     reported; rows that share an id count as one document; empty tables give no rows; other columns are ignored."""
     spark = docs.sparkSession
     source = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("name"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     known = C.saved(_table(source, None, literal, window), "item-windows")
-    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # window sizes: `window` at most
+    found = known.select("size", "verbatim").distinct().collect()  # window sizes: `window` at most
+    sizes = {v: sorted(r["size"] for r in found if r["verbatim"] == v) for v in (False, True)}
     text = C.id_and_text(docs, id_col, text_col).where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "name")
     small = known.count() <= FILTER_WINDOWS
     shared = spark.sparkContext.broadcast(np.unique(known.select("hash").toArrow()["hash"].to_numpy()).view(np.uint64)) if small else None
     mine = _table(text, sizes, literal, window, shared).select(F.col("name").alias("doc_id"), F.col("at").alias("doc_at"), "hash", F.col("slots").alias("doc_slots"))
-    theirs = known.select(F.col("name").alias("item_id"), F.col("at").alias("item_at"), "hash", "slots", "total")
+    theirs = known.select(F.col("name").alias("item_id"), F.col("at").alias("item_at"), "hash", "slots", "total", "verbatim")
     hits = mine.join(F.broadcast(theirs) if small else theirs, "hash").withColumn("diagonal", F.col("doc_at") - F.col("item_at"))
     pair = ["doc_id", "item_id"]
-    order = Window.partitionBy(*pair).orderBy("diagonal")
+    order = Window.partitionBy(*pair, "verbatim").orderBy("diagonal")
     new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > drift).cast("int"), F.lit(0))
     merged = hits.withColumn("new", new).withColumn("run", F.sum("new").over(order.rangeBetween(Window.unboundedPreceding, 0)))
     parts = F.array(F.lit("all"), F.concat(F.lit("run "), F.col("run").cast("string")), F.concat(F.lit("at "), F.col("diagonal").cast("string")))
     hits = C.saved(merged.withColumn("part", F.explode(parts)).drop("new", "run", "diagonal"), "item-hits")
-    part = [*pair, "part"]
+    part = [*pair, "verbatim", "part"]
     found = hits.groupBy(*part).agg(F.countDistinct("item_at").alias("n_windows"), F.max("total").alias("total"), F.min("doc_at").alias("first_token"), F.max("doc_at").alias("last_token"))
     found = found.withColumn("coverage", F.col("n_windows") / F.col("total")).where(F.col("coverage") >= coverage)
     slots = hits.where(F.size("slots") > 0).select(*part, F.explode(F.arrays_zip(F.col("slots").alias("theirs"), F.col("doc_slots").alias("mine"))).alias("s")).select(*part, "s.theirs", "s.mine").distinct()
     fit = slots.groupBy(*part).agg((F.least(F.countDistinct("theirs"), F.countDistinct("mine")) / F.count(F.lit(1))).alias("consistency"), F.min((F.col("theirs") == F.col("mine")).cast("int")).alias("own"))
     out = found.join(fit, part, "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0))).where(F.col("consistency") >= consistency)
     out = out.withColumn("exact", F.coalesce(F.col("own"), F.lit(1)) == 1)
-    best = F.max_by(F.struct("n_windows", "coverage", "consistency", "exact", "first_token", "last_token"), F.struct("exact", "n_windows", "consistency", "part")).alias("best")
+    best = F.max_by(F.struct("n_windows", "coverage", "consistency", "exact", "first_token", "last_token"), F.struct("exact", ~F.col("verbatim"), "n_windows", "consistency", "part")).alias("best")
     return out.groupBy(*pair).agg(best).select(*pair, "best.*")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -15,15 +17,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at.
-STEP_BYTES = 6 << 20
+STEP_BYTES = 2 << 20
 #: Bytes up to which a checked side is broadcast.
 BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of our own only where none is named."""
+    """The folder that the cluster names for checkpoints. Where none is named, one of our own if everything runs in this
+    process; executors of a cluster do not share a folder of this machine, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tonearc-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -33,16 +38,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Paths written since each open scratch() began.
-_SCRATCH: list[list[str]] = []
+class _Scratch(threading.local):
+    """Paths that this thread has written since each open scratch() began."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_SCRATCH = _Scratch()
 
 
 def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df written to the shared folder and read back: lineage ends there, and a lost executor takes nothing with it.
     keep: it outlives an open scratch()."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    if _SCRATCH and not keep:
-        _SCRATCH[-1].append(path)
+    if _SCRATCH.open and not keep:
+        _SCRATCH.open[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -50,13 +61,18 @@ def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is saved inside is deleted at the end; the result must have been saved with keep by then."""
-    _SCRATCH.append([])
+    _SCRATCH.open.append([])
     try:
         yield
     finally:
-        for path in _SCRATCH.pop():
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        for path in _SCRATCH.open.pop():
+            discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that saved() wrote."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,18 +84,29 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_steps(batches: Iterator[pa.RecordBatch], step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut into slices of about step bytes of column text, one row at least."""
+def text_steps(batches: Iterator[pa.RecordBatch], step: int | None = None, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of about step bytes of a column, one row at least. Memory goes back at the end."""
+    step = step or STEP_BYTES
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        off = offsets(batch.column("text"))
+        off = offsets(batch.column(column))
         at = 0
         while at < batch.num_rows:
             end = int(np.searchsorted(off, off[at] + step, side="right")) - 1
             end = min(max(end, at + 1), batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+    give_back()
+
+
+def give_back() -> None:
+    """Returns what this process has freed to the system: workers outlive their tasks, and the next stage's come on top."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def offsets(column: pa.Array) -> np.ndarray:

@@ -151,7 +151,15 @@ _GRAM = pa.schema([("gram", pa.int64()), ("ordinary", pa.int64()), ("toxic", pa.
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """N-gram counts of each class, added up over some documents at a time."""
-    for step in C.text_steps(batches, 4 * C.STEP_BYTES):
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []  # (bytes of text, n-grams, counts), larger ones first
+
+    def merge() -> None:
+        (a, keys, n), (b, more, m) = held[-2:]
+        own, which, _ = C.distinct(np.concatenate([keys, more]))
+        both = np.concatenate([n, m], axis=1)
+        held[-2:] = [(a + b, own, np.array([np.bincount(which, weights=x, minlength=len(own)) for x in both]).astype(np.int64))]
+
+    for step in C.text_steps(batches):
         buf, rows = C.text_bytes(step.column("text"))
         low, starts, ends, first = C.words(buf, rows)
         code, pieces = C.distinct_pieces(low, starts, ends)
@@ -160,8 +168,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic = np.repeat(step.column("toxic").to_numpy(zero_copy_only=False), np.diff(first))
         gram, word, _ = grams(pieces)
         keys, which, _ = C.distinct(gram)
-        n = [np.bincount(which, weights=np.bincount(code[toxic == k], minlength=len(pieces))[word]).astype(np.int64) for k in range(2)]
-        yield C.batch(_GRAM, keys, *n)
+        n = np.array([np.bincount(which, weights=np.bincount(code[toxic == k], minlength=len(pieces))[word]) for k in range(2)]).astype(np.int64)
+        held.append((int(rows[-1]), keys, n))
+        while len(held) > 1 and held[-1][0] >= held[-2][0]:
+            merge()
+        if held[0][0] >= BLOCK_BYTES:
+            while len(held) > 1:
+                merge()
+            yield C.batch(_GRAM, held[0][1], *held[0][2])
+            held.clear()
+    while len(held) > 1:
+        merge()
+    if held:
+        yield C.batch(_GRAM, held[0][1], *held[0][2])
 
 
 def ratios(counted: DataFrame, requests: DataFrame, buckets: int) -> DataFrame:

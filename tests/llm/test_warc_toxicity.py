@@ -42,7 +42,7 @@ def want(rows):
 
 def test_archives(pages, page_rows):
     captures = warc.write_archives(pages)
-    got = warc.read_archives(captures)
+    got = warc.read_records(captures)
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     assert sorted(map(tuple, got.select(*cols).collect()), key=str) == want(page_rows)
     stored = {r.page_id: bytes(r.payload).decode() for r in got.where("record_type = 'response' and page_id is not null").collect()}
@@ -58,19 +58,50 @@ def test_archives(pages, page_rows):
 
 
 def test_archives_threshold(pages, page_rows):
-    got = warc.read_archives(warc.write_archives(pages, least=15)).where("record_type = 'revisit'").collect()
+    got = warc.read_records(warc.write_archives(pages, least=15)).where("record_type = 'revisit'").collect()
     assert {r.payload_bytes for r in got} == {200_000}
 
 
 def test_archives_of_nothing(pages):
     captures = warc.write_archives(pages.limit(0))
-    assert captures.count() == 0 and warc.read_archives(captures).count() == 0
-    assert warc.CaptureIndex(warc.write_index(captures)).captures("http://a.b/") == []
+    assert captures.count() == 0 and warc.read_records(captures).count() == 0
+    index = warc.write_index(captures)
+    assert warc.CaptureIndex(index).captures("http://a.b/") == []
+    assert warc.lookup(index, warc.page_keys(pages)).count() == 0
+    assert warc.lookup(warc.write_index(warc.write_archives(pages)), warc.page_keys(pages.limit(0))).count() == 0
+
+
+def test_lookup_finds_what_a_scan_finds(spark, pages, page_rows, monkeypatch):
+    """Every record comes back through the index, whatever the sizes of blocks and chunks; hot keys span blocks."""
+    captures = warc.write_archives(pages)
+    whole = {p: [warc.parse(x) for x in warc.members(p)] for (p,) in captures.select("path").distinct().collect()}
+    assert sum(map(len, whole.values())) == len(page_rows)
+    for lines, chunk, bound in ((2, 1, 3), (1000, 1 << 20, 200)):
+        monkeypatch.setattr(warc, "CHUNK_BYTES", chunk)
+        monkeypatch.setattr(warc, "BOUND_CHARS", bound)
+        index = warc.write_index(captures, block_lines=lines)
+        got = warc.read_records(warc.lookup(index, warc.page_keys(pages))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+        assert sorted(map(tuple, got.collect()), key=str) == want(page_rows)
+        url = spark.createDataFrame([("http://example.org",), ("http://absent.org",), ("http://example.org/",), (None,)], "url string").selectExpr("url", "cast(null as long) page_id")
+        found = warc.lookup(index, warc.page_keys(url), exact=False)
+        keys = {warc.url_key(u) for u in ("http://example.org", "http://absent.org", None)}
+        assert sorted((r.page_id for r in found.collect()), key=str) == sorted((i for i, u, _ in page_rows if warc.url_key(u) in keys), key=str)
+
+
+def test_pages_that_share_an_id(spark):
+    """Each row is judged by its own payload, and none is lost."""
+    rows = [(5, "http://a/", "AAA"), (5, "http://b/", "UNIQUE"), (1, "http://c/", "AAA"), (7, "http://d/", "AAA"), (7, "http://d/", "BBB"), (8, "http://d/", "BBB"), (8, "http://d/", "BBB")]
+    captures = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = [(r.page_id, r.payload and bytes(r.payload).decode(), r.record_type, r.refers_to) for r in warc.read_records(captures).collect()]
+    assert sorted(got, key=str) == sorted([(1, "AAA", "response", None), (5, None, "revisit", 1), (5, "UNIQUE", "response", None), (7, None, "revisit", 1), (7, "BBB", "response", None), (8, None, "revisit", 7), (8, None, "revisit", 7)], key=str)
 
 
 def test_url_key():
     assert warc.url_key("https://user@WWW.Example.org:8080/a/b?c=d") == "org,example,www)/a/b?c=d"
     assert warc.url_key("example.org") == "org,example)/" and warc.url_key(None) == ""
+    assert warc.url_key("http://example.org?u=http://x#y") == "org,example)/?u=http://x"
+    for odd in ("http://[::1/x", "http://ex\u2100mple.com/", "://", "http://", "#", "?", "a@b@c:x/", "\x00", "http://[::1]:80"):
+        assert isinstance(warc.url_key(odd), str)
 
 
 @pytest.fixture(scope="module")

@@ -20,9 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captures = warc.write_archives(table(spark, sf_dir, "pages"), least=0)
-    warc.write_index(captures)
-    return warc.read_archives(captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages")
+    index = warc.write_index(warc.write_archives(pages, least=0))
+    found = warc.lookup(index, warc.page_keys(pages))
+    return warc.read_records(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ class _Bins:
         self.rank = np.zeros(capacity + 1, np.int64)
 
     def add(self, bins: int, slots: list[tuple[int, int]]) -> None:
+        """bins of the same slots (length, first rank)."""
         gap = self.capacity - sum(s for s, _ in slots)
         self.by_gap[gap].append((bins, slots))
         self.room[gap] = True
@@ -95,80 +96,98 @@ def _knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[flo
     return float(best[capacity]), found
 
 
-def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
-    """Configurations of few sizes and how often the linear relaxation uses each (column generation)."""
+def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, gap: float = 1e-3) -> list[tuple[np.ndarray, float]]:
+    """Configurations of few sizes and how often the linear relaxation uses each, by column generation until the duals
+    prove the relaxation to be within a share `gap` of its optimum."""
     m = len(sizes)
-    basis = np.diag((capacity // sizes).astype(float))
-    for _ in range(40 * m):
-        duals = np.linalg.solve(basis.T, np.ones(m))
-        worth, column = _knapsack(sizes, np.maximum(duals, 0), capacity)
-        if worth <= 1 + 1e-7:
-            break
-        x, d = np.linalg.solve(basis, need.astype(float)), np.linalg.solve(basis, column)
-        ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
-        basis[:, int(np.argmin(ratio))] = column
-    x = np.linalg.solve(basis, need.astype(float))
-    return [(basis[:, j].astype(int), float(x[j])) for j in range(m)]
-
-
-def plan(counts: np.ndarray, capacity: int, groups: int = 64, small: int = 8) -> tuple[np.ndarray, int]:
-    """Runs for counts[length] pieces of each length. Lengths over capacity / small are cut into groups of equal
-    cardinality and rounded up to the longest of their group; configurations of these few sizes are optimised and
-    filled with actual pieces; what is left over and all small ones follow by best fit, longest first. Plain best fit
-    of everything is also planned and wins if it needs fewer bins."""
-    counts = counts.astype(np.int64)
-    simple = _Bins(capacity)
-    for length in range(capacity, 0, -1):
-        if counts[length]:
-            simple.best_fit(length, int(counts[length]))
+    columns = np.diag((capacity // sizes).astype(float))
+    inverse = np.diag(1 / np.diag(columns))
+    pool, bound = np.zeros((0, m)), 0.0
+    for turn in range(1, 40 * m + 1):
+        used, duals = inverse @ need, inverse.sum(axis=0)
+        worth = pool @ duals
+        if len(pool) and worth.max() > 1 + gap:  # configurations found before come first: they cost no knapsack
+            column = pool[int(np.argmax(worth))]
+        else:
+            best, column = _knapsack(sizes, np.maximum(duals, 0), capacity)
+            bound = max(bound, used.sum() / best)
+            if best <= 1 + gap or used.sum() <= bound * (1 + gap):
+                break
+            pool = np.concatenate([pool, column[None]])
+        change = inverse @ column
+        ratio = np.where(change > 1e-9, used / np.where(change > 1e-9, change, 1), np.inf)
+        out = int(np.argmin(ratio))
+        columns[:, out] = column
+        row = inverse[out] / change[out]
+        inverse = np.linalg.inv(columns) if turn % 50 == 0 else inverse - np.outer(change, row)
+        inverse[out] = inverse[out] if turn % 50 == 0 else row
+    used = inverse @ need
+    return [(columns[:, j].round().astype(int), float(used[j])) for j in range(m)]
+
+
+def _grouped(counts: np.ndarray, capacity: int, groups: int, small: int) -> tuple[np.ndarray, int]:
     bins, left = _Bins(capacity), counts.copy()
     if left[capacity]:
         bins.best_fit(capacity, int(left[capacity]))
         left[capacity] = 0
     large = np.arange(capacity // small + 1, capacity)
     total = int(left[large].sum())
-    if total > groups:
-        each, queue, made = -(-total // groups), [], []
-        for length in large[::-1].tolist():
-            n = int(left[length])
-            while n:
-                room = each - sum(k for _, k in queue)
-                queue.append([length, min(n, room)])
-                n -= queue[-1][1]
-                if sum(k for _, k in queue) == each:
-                    made.append(queue)
-                    queue = []
-        if queue:
-            made.append(queue)
-        sizes, need = np.array([g[0][0] for g in made]), np.array([sum(k for _, k in g) for g in made])
-        merged = {s: np.flatnonzero(sizes == s) for s in sizes.tolist()}  # one long length may fill groups
-        keys = np.array(list(merged))
-        made = [[x for i in merged[s] for x in made[i]] for s in keys.tolist()]
-        need = np.array([need[merged[s]].sum() for s in keys.tolist()])
-        for column, times in sorted(configurations(keys, need, capacity), key=lambda c: -c[1]):
-            times = int(times)
-            while times > 0:
-                own = [(g, int(a)) for g, a in enumerate(column) if a]
-                if any(sum(k for _, k in made[g]) < a for g, a in own):
+    if total:
+        # Groups of equal cardinality, longest first; one size stands for all of a group. A length that spans groups makes them one.
+        down = large[::-1]
+        at = np.searchsorted(np.cumsum(left[down]), np.arange(0, total, -(-total // groups)) + 1)
+        sizes = np.unique(down[at])
+        need = np.bincount(np.searchsorted(sizes, large[large <= sizes[-1]]), weights=left[large[large <= sizes[-1]]], minlength=len(sizes))
+        lows = np.append(capacity // small, sizes[:-1])
+        lengths = np.arange(capacity + 1)
+
+        def longest(low: int, high: int) -> int:
+            """The longest length over low and up to high that is left, or 0."""
+            some = np.flatnonzero(left[low + 1 : high + 1])
+            return low + 1 + int(some[-1]) if len(some) else 0
+
+        def substitute(own: list[int]) -> list[int]:
+            """Actual lengths for the groups of a configuration: the longest of each, but the last two so that least is
+            left of the sequence; the very last may be of any length, which takes up what rounding has set aside."""
+            slots, gap = [], capacity
+            for g in own[:-2]:
+                found = longest(lows[g], sizes[g])
+                if not found:
                     break
-                run = min([times, *(made[g][0][1] // a for g, a in own)])
-                slots = []
-                for g, a in own:
-                    for _ in range(a):
-                        length, n = made[g][0]
-                        use = max(run, 1)
-                        slots.append((length, bins.take(length, use)))
-                        left[length] -= use
-                        made[g][0][1] = n - use
-                        if n == use:
-                            made[g].pop(0)
-                bins.add(max(run, 1), slots)
-                times -= max(run, 1)
+                slots.append(found)
+                left[found] -= 1
+                gap -= found
+            g = own[-2]
+            some = np.arange(min(sizes[g], gap), lows[g], -1)
+            some = some[left[some] > 0]
+            last = np.maximum.accumulate(np.where(left > 0, lengths, 0))[gap - some]
+            bad = (last == 0) | ((last == some) & (left[some] < 2))
+            waste = np.where(bad, capacity, gap - some - last)
+            for s in slots:
+                left[s] += 1
+            k = int(np.argmin(waste)) if len(waste) and len(slots) == len(own) - 2 else -1
+            return [*slots, int(some[k]), int(last[k])] if k >= 0 and waste[k] < capacity else []
+
+        for column, times in sorted(configurations(sizes, need, capacity), key=lambda c: -int(np.flatnonzero(c[0])[-1])):
+            own, times = np.repeat(np.arange(len(sizes)), column)[::-1].tolist(), int(np.ceil(times - 1e-9))
+            while times > 0 and len(own) > 1 and (slots := substitute(own)):
+                used, each = np.unique(slots, return_counts=True)
+                run = min(times, int((left[used] // each).min()))
+                bins.add(run, [(s, bins.take(s, run)) for s in slots])
+                left[used] -= run * each
+                times -= run
     for length in range(capacity, 0, -1):
         if left[length]:
             bins.best_fit(length, int(left[length]))
-    one, other = bins.runs(), simple.runs()
-    return one if one[1] <= other[1] else other
+    return bins.runs()
+
+
+def plan(counts: np.ndarray, capacity: int, groups: int = 16, small: tuple[int, ...] = (4, 8)) -> tuple[np.ndarray, int]:
+    """Runs for counts[length] pieces of each length. Lengths over capacity / small are cut into groups of equal
+    cardinality and rounded up to the longest of their group; configurations of these few sizes are optimised and filled
+    with actual pieces; what is left over (also of configurations of one piece) and all small ones follow by best fit,
+    longest first. This is done for each value of small, and the grouping of fewest sequences is returned."""
+    return min((_grouped(counts.astype(np.int64), capacity, groups, s) for s in small), key=lambda r: r[1])
 
 
 # ---- documents -------------------------------------------------------------------------------------------------------

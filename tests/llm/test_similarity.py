@@ -84,7 +84,7 @@ def brute_near(rows, t=0.6):
     return sorted((i, find(least[grams(x)]), least[grams(x)], degree[least[grams(x)]]) for i, x in named)
 
 
-@pytest.mark.parametrize("block", [256, 2])
+@pytest.mark.parametrize("block", [1024, 2])
 def test_near_duplicates(docs, rows, block, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     got = ngram_join.near_duplicates(docs)
@@ -93,9 +93,73 @@ def test_near_duplicates(docs, rows, block, monkeypatch):
     assert got.where("doc_id is null").count() == 1
 
 
+def brute_pairs(text):
+    least = {}
+    for i in sorted(text):
+        least.setdefault(grams(text[i]), i)
+    sets = {i: s for s, i in least.items()}
+    return {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] != sets[b] and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+
+
+@pytest.mark.parametrize("kind", ["mixed", "near"])
+def test_forest_recall(spark, kind, monkeypatch):
+    """Edited copies of many kinds, and a cluster whose members are all alike: recall against brute force; where all
+    links are near, prefixes stay longer."""
+    rng = np.random.default_rng(8)
+    text, used = {}, []
+    for k in range(30):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        for c in range(5):
+            own = list(base)
+            for at in rng.integers(0, 120, rng.integers(0, 15 if kind == "mixed" else 2)):
+                own[at] = f"v{rng.integers(0, 5000)}"
+            text[1000 * k + c] = " ".join(own)
+    plain = ngram_join.shortened
+    monkeypatch.setattr(ngram_join, "shortened", lambda *a: used.append(plain(*a)) or used[-1])
+    monkeypatch.setattr(ngram_join, "PROBE", 2)
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    got = {(r.a, r.b): r.jaccard for r in ngram_join.similar_pairs(docs).collect()}
+    want = brute_pairs(text)
+    print("recall", len(got) / len(want), "of", len(want), "depth", used)
+    assert set(got) <= set(want) and len(got) >= 0.98 * len(want) and all(abs(want[p] - x) < 1e-12 for p, x in got.items())
+    assert used == ([4] if kind == "mixed" else [max(used)]) and (kind == "mixed" or used[0] > 4)
+    links = {r.doc_id: r.n_links for r in ngram_join.near_duplicates(docs).collect()}
+    first = {}
+    for i in sorted(text):
+        first.setdefault(grams(text[i]), i)
+    reps = set(first.values())
+    assert sum(links[i] for i in reps) == 2 * len([p for p in got if set(p) <= reps])
+
+
+def test_a_large_cluster_stays_linear(spark):
+    """What is shuffled for a cluster of near copies of each other grows by the blocks, not by the pairs."""
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 9000, 60)]
+    text = {}
+    for i in range(2500):
+        own = list(base)
+        own[int(rng.integers(0, 60))] = f"x{i}"
+        text[i] = " ".join(own)
+    got = ngram_join.near_duplicates(spark.createDataFrame(list(text.items()), "doc_id long, text string")).collect()
+    assert {r.group_id for r in got} == {0} and all(r.n_group == 2500 for r in got)
+    sets = [grams(text[i]) for i in range(2500)]
+    for i in range(0, 2500, 500):
+        assert abs(got[[r.doc_id for r in got].index(i)].n_links - sum(len(sets[i] & s) >= 0.6 * len(sets[i] | s) for j, s in enumerate(sets) if j != i)) <= 5
+
+
+def test_rows_that_share_an_id(spark):
+    """Each belongs to the group of its own text."""
+    a, b = "one two three four five six seven", "quite another text of some words here"
+    rows = [(5, a), (5, b), (7, a + " eight"), (9, b), (3, "alone in this corpus stands this one"), (3, "alone in this corpus stands this one")]
+    got = sorted((r.doc_id, r.group_id, r.copy_of, r.n_links, r.n_group) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 3, 3, 0, 2), (3, 3, 3, 0, 2), (5, 5, 5, 0, 4), (5, 5, 5, 1, 4), (7, 5, 7, 1, 4), (9, 5, 5, 0, 4)]
+
+
 def test_depth():
-    assert ngram_join.depth(0.6, 36, 8, 0.99) == 4
-    assert 1 - (1 - 0.6**4) ** 36 >= 0.99
+    assert ngram_join.depth(0.6, 40, 0.99) == 4
+    assert 1 - (1 - 0.6**4) ** 40 >= 0.99
+    assert ngram_join.shortened({}, 40, 4, 0.99) == 4 and ngram_join.shortened({62: 9, 95: 100}, 40, 4, 0.99) == 4
+    assert ngram_join.shortened({95: 100}, 40, 4, 0.99) == 8 and ngram_join.shortened({83: 100}, 40, 4, 0.99) > 5
 
 
 def test_components(spark):

@@ -35,7 +35,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.6, n=3, trees=36, recall=0.99)
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.6, n=3, trees=40, recall=0.99)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the smallest id stays."""
-    found = near_duplicates(docs, threshold=0.6, n=3, trees=36, recall=0.99)
+    found = near_duplicates(docs, threshold=0.6, n=3, trees=40, recall=0.99)
     return _without(docs, found.where(F.col("doc_id") != F.col("group_id")))
 
 

@@ -58,18 +58,50 @@ def test_token_files(docs, rows):
         assert f.ids(k, 3, 9).tolist() == own[3:9].tolist()
 
 
-def test_grammar_round_trip():
+def pairs_apart(symbols, rows):
+    """The largest number of places of one pair that do not overlap."""
+    seen = defaultdict(int)
+    for a, z in zip(rows, rows[1:]):
+        own, k, free = symbols[a:z], 0, {}
+        for k in range(len(own) - 1):
+            p = own[k], own[k + 1]
+            if k >= free.get(p, 0):
+                seen[p] += 1
+                free[p] = k + 2
+    return max(seen.values(), default=0)
+
+
+@pytest.mark.parametrize("shares", [(), (2, 4), token_files.SHARES])
+def test_grammar(shares):
+    """Round trips, sizes, and no pair left twice, with empty rows, runs of one symbol and pairs across rows."""
     rng = np.random.default_rng(1)
-    for n, kinds in ((0, 3), (1, 3), (5000, 2), (20000, 40)):
+    for n, kinds in ((0, 3), (1, 3), (2, 1), (700, 1), (5000, 2), (20000, 40), (3000, 2000)):
         ids = rng.integers(0, kinds, n).astype(np.uint32)
+        ids[: n // 3] = np.repeat(ids[: n // 3], 5)[: n // 3]
         first = np.unique(np.concatenate([[0, n], rng.integers(0, n + 1, 20)])).astype(np.int64)
         first = np.concatenate([first[:1], first])  # an empty row
-        g = token_files.compress(ids, first, 50, min_count=4)
-        assert token_files.expand(g["symbols"], g["left"], g["right"], 50).tolist() == ids.tolist()
-        sizes = np.concatenate([np.ones(50, int), g["size"].astype(int)])
+        g = token_files.compress(ids, first, 2000, shares)
+        assert token_files.expand(g["symbols"], g["left"], g["right"], g["size"], 2000).tolist() == ids.tolist()
+        sizes = np.concatenate([np.ones(2000, int), g["size"].astype(int)])
         for k in range(len(first) - 1):
             assert sizes[g["symbols"][g["rows"][k] : g["rows"][k + 1]].astype(int)].sum() == first[k + 1] - first[k]
-    assert len(g["symbols"]) < n
+        assert pairs_apart(g["symbols"].tolist(), g["rows"].tolist()) <= 1
+
+
+def test_files_are_smaller_than_zstd():
+    import pyarrow.parquet as pq
+    import zstandard
+
+    encoder = encoding.Encoder.of(BYTE)
+    from tonearc.llm import common as C
+
+    column = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].combine_chunks().fill_null("")
+    ids, first = encoder.encode_rows(*C.text_bytes(column))
+    data = token_files.pack(list(range(len(column))), ids.astype(np.uint32), first, 50257)
+    plain = zstandard.ZstdCompressor(level=3).compress(ids.astype("<u2").tobytes())
+    print("bytes an id", len(data) / len(ids), "zstd", len(plain) / len(ids))
+    assert len(data) < 0.95 * len(plain)
+    assert (token_files.TokenFile(data).all_ids() == ids).all()
 
 
 def test_packing(docs, rows):

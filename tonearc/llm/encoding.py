@@ -30,7 +30,7 @@ class Encoder:
 
     _kept: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, remember: int = 350_000):
+    def __init__(self, path: str, remember: int = 500_000):
         quiet_tokenizers()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)

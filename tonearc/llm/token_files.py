@@ -1,10 +1,13 @@
 """Token-id files compressed by a Re-Pair grammar per shard, with random access to single documents.
 
-A file holds the documents of one stretch of ascending ids. Frequent pairs of neighbouring symbols are replaced by
-nonterminals, round after round, never across the end of a document; the rules and the length of each rule's expansion
-are stored, so any document, or any range of a document's ids, is decoded from its own symbols alone.
-
-File: 8 bytes magic, 8 bytes length of a JSON header, the header, then the arrays that it lists, zstd-compressed each.
+A file holds the documents of one stretch of ascending ids. Pairs of neighbouring symbols are replaced by nonterminals,
+the most frequent first, never across the end of a document, until no pair occurs twice. Pairs are counted and replaced
+a round at a time: first those above falling shares of the shard, then all that occur twice; where occurrences overlap
+the more frequent pair has them. The rules and the length of each rule's expansion are stored, so any document, or any
+range of a document's ids, is decoded from its own symbols alone.
+
+File: 8 bytes magic, 8 bytes length of a JSON header, the header, then the arrays that it lists: differences where they
+ascend, then byte planes (no plane for bytes that are zero throughout), each zstd-compressed.
 """
 
 from __future__ import annotations
@@ -25,109 +28,165 @@ from pyspark.sql import functions as F
 from tonearc.llm import common as C
 from tonearc.llm.encoding import Encoder
 
-MAGIC = b"RPGRAM01"
+MAGIC = b"RPGRAM02"
+#: Shares of a shard that a pair has to make up in the first rounds, as powers of two.
+SHARES = (8, 11, 14, 17)
 
 
 # ---- grammar ---------------------------------------------------------------------------------------------------------
 
 
-def compress(ids: np.ndarray, first: np.ndarray, terminals: int, min_share: float = 2.0**-15, min_count: int = 8) -> dict[str, np.ndarray]:
-    """Grammar of ids, of which row i is ids[first[i]:first[i + 1]]. A round replaces every pair that makes up at least
-    a share of all places, the most frequent first where occurrences overlap; the share falls to an eighth from round to
-    round, down to min_share (or min_count places), and the last level is repeated while it still finds pairs that cover
-    a hundredth of the symbols."""
+def _places(left: np.ndarray, right: np.ndarray, at: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places at of pairs (left, right), sorted by pair and then by place, and where runs of one pair start."""
+    bits, low = max(int(symbols).bit_length(), 1), max(int(at[-1]).bit_length(), 1)
+    if 2 * bits + low <= 64:  # pair and place in one number: sorted as plain numbers
+        key = (left.astype(np.uint64) << np.uint64(bits) | right.astype(np.uint64)) << np.uint64(low) | at.astype(np.uint64)
+        key.sort()
+        at, pair = (key & np.uint64((1 << low) - 1)).astype(np.int64), key >> np.uint64(low)
+    else:
+        pair = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        order = np.argsort(pair, kind="stable")
+        at, pair = at[order].astype(np.int64), pair[order]
+    return at, np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+
+
+def _every_second(seq: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Places of pairs of equal symbols that overlap the one before, which is counted."""
+    equal = np.flatnonzero((seq[1:] == seq[:-1]) & ~last[:-1])
+    start = np.maximum.accumulate(np.where(np.append(True, np.diff(equal) > 1)[: len(equal)], equal, 0))
+    return equal[(equal - start) % 2 == 1]
+
+
+def compress(ids: np.ndarray, first: np.ndarray, terminals: int, shares: tuple[int, ...] = SHARES) -> dict[str, np.ndarray]:
+    """Grammar of ids, of which row i is ids[first[i]:first[i + 1]]: left and right of the rules, their expansion sizes,
+    the symbols that are left, where each row starts among them. No pair of neighbours in a row is left at two places
+    that do not overlap."""
     seq = ids.astype(np.int32)
     last = np.zeros(len(seq), bool)
-    ends = first[1:][first[1:] > first[:-1]] - 1
-    last[ends] = True
-    left, right, symbols = [], [], terminals
-    share, least = 2.0**-6, max(min_count, int(len(seq) * min_share))
-    while len(seq) > 1:
-        level = max(least, int(len(ids) * share))
-        # Counts by hash come first: only places whose bucket is full enough are sorted.
-        bucket = (seq[:-1].view(np.uint32) * np.uint32(0x9E3779B1) + seq[1:].view(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(12)
-        full = np.bincount(bucket, minlength=1 << 20) >= level
-        ok = np.flatnonzero(full[bucket] & ~last[:-1])
-        key = seq[ok].astype(np.int64) << 32 | seq[ok + 1]
-        pairs, which, n = C.distinct(key)
-        good = n >= level
-        won = 0
-        if good.any():
-            never = np.iinfo(np.int32).max
-            rank = np.full(len(pairs), never, np.int32)
-            order = np.flatnonzero(good)[np.argsort(-n[good], kind="stable")]
-            rank[order] = np.arange(len(order))
-            took = rank[which]
-            pos, took = ok[took < never], took[took < never]
-            at = np.full(len(seq) + 1, never, np.int32)
-            at[pos + 1] = took
-            # The better rank wins of two that overlap, the left one of equals.
-            win = pos[(took < at[pos]) & (took <= at[pos + 2])]
-            rank_of = at[win + 1]
-            uses = np.bincount(rank_of, minlength=len(order)) > 0
-            used, number = np.flatnonzero(uses), np.cumsum(uses) - 1
-            left.append(pairs[order][used] >> 32)
-            right.append(pairs[order][used] & 0xFFFFFFFF)
-            seq[win] = symbols + number[rank_of]
-            last[win] = last[win + 1]
-            symbols += len(used)
-            keep = np.ones(len(seq), bool)
-            keep[win + 1] = False
-            seq, last = seq[keep], last[keep]
-            won = len(win)
-        if level == least and won < 0.01 * len(seq):
-            break
-        share /= 8
-    left_ = np.concatenate(left) if left else np.zeros(0, np.int64)
-    right_ = np.concatenate(right) if right else np.zeros(0, np.int64)
-    size = expansion_sizes(left_, right_, terminals)
+    last[first[1:][first[1:] > first[:-1]] - 1] = True
+    hot = np.ones(len(seq), bool)  # places whose pair may occur again; those once found to be alone stay alone
+    left, right, sizes, symbols = [], [], [np.ones(terminals, np.uint32)], terminals
+    levels = [max(2, len(seq) >> s) for s in shares] + [2]
+    while len(seq) > 1 and levels:
+        level = levels[0]
+        able = (hot & ~last)[:-1]
+        odd = _every_second(seq, last)
+        able[odd] = False
+        at = np.flatnonzero(able)
+        if level > 2:  # counts by hash come first: only places whose bucket is full enough are sorted
+            bucket = (seq[at].view(np.uint32) * np.uint32(0x9E3779B1) + seq[at + 1].view(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(12)
+            at = at[(np.bincount(bucket, minlength=1 << 20) >= level)[bucket]]
+        if not len(at):
+            levels.pop(0)
+            continue
+        at, run = _places(seq[at], seq[at + 1], at, symbols)
+        n = np.diff(np.append(run, len(at)))
+        good = np.flatnonzero(n >= level)
+        if not len(good):
+            levels.pop(0)
+            continue
+        # The better rank wins of two that overlap, the left one of equals; ranks follow the counts.
+        rank = np.empty(len(good), np.int32)
+        rank[np.argsort(-n[good], kind="stable")] = np.arange(len(good), dtype=np.int32)
+        some = C.ragged(run[good], n[good])
+        place, own = at[some], np.repeat(rank, n[good])
+        never = np.iinfo(np.int32).max
+        ranks = np.full(len(seq) + 2, never, np.int32)
+        ranks[place + 1] = own
+        wins = (own < ranks[place]) & (own <= ranks[place + 2])
+        used = np.bincount(own[wins], minlength=len(good))
+        wins &= used[own] >= 2  # what wins only once is no repetition now
+        used[used < 2] = 0
+        won, by = place[wins], own[wins]
+        if level == 2:
+            hot = np.zeros(len(seq), bool)
+            hot[place] = hot[odd] = True
+        if not len(won):
+            levels.pop(0)
+            continue
+        some = np.flatnonzero(used)
+        a, b = np.empty(len(good), np.int32), np.empty(len(good), np.int32)
+        a[rank], b[rank] = seq[at[run[good]]], seq[at[run[good]] + 1]
+        # Numbers of a round: by how many bits the uses have, then by the pair, so that differences are small.
+        order = some[np.lexsort((b[some], a[some], -np.frexp(used[some])[1]))]
+        number = np.zeros(len(good), np.int32)
+        number[order] = np.arange(len(order), dtype=np.int32)
+        left.append(a[order])
+        right.append(b[order])
+        known = np.concatenate(sizes) if len(sizes) > 1 else sizes[0]
+        sizes = [known, known[a[order]] + known[b[order]]]
+        seq[won] = symbols + number[by]
+        last[won] = last[won + 1]
+        keep = np.ones(len(seq), bool)
+        keep[won + 1] = False
+        hot[won] = True
+        hot[np.maximum(won - 1, 0)] = True
+        seq, last, hot = seq[keep], last[keep], hot[keep]
+        symbols += len(order)
+        if level > 2:
+            levels.pop(0)
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int32)
     stop = np.flatnonzero(last) + 1
     rows = np.zeros(len(first), np.int64)
     rows[1:] = np.append(0, stop)[np.cumsum(first[1:] > first[:-1])]
-    return {"left": left_.astype(np.uint32), "right": right_.astype(np.uint32), "size": size.astype(np.uint32), "symbols": seq.astype(np.uint32), "rows": rows}
-
-
-def expansion_sizes(left: np.ndarray, right: np.ndarray, terminals: int) -> np.ndarray:
-    """Ids that each rule stands for; rules only use rules before them."""
-    size = [0] * len(left)
-    for k, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
-        size[k] = (1 if a < terminals else size[a - terminals]) + (1 if b < terminals else size[b - terminals])
-    return np.array(size, np.int64)
-
-
-def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, terminals: int) -> np.ndarray:
-    """All symbols replaced by what they stand for."""
-    used = np.flatnonzero(np.bincount(symbols[symbols >= terminals].astype(np.int64) - terminals, minlength=len(left)))
-    flat, level = used.astype(np.int64) + terminals, np.arange(len(used))
-    while len(flat):  # the rules in use, a level at a time
-        rule = flat >= terminals
-        if not rule.any():
-            break
-        at = np.arange(len(flat)) + np.cumsum(rule) - rule
-        wide, owner = np.empty(len(flat) + int(rule.sum()), np.int64), np.empty(len(flat) + int(rule.sum()), np.int64)
-        wide[at[~rule]] = flat[~rule]
-        wide[at[rule]] = left[flat[rule] - terminals]
-        wide[at[rule] + 1] = right[flat[rule] - terminals]
-        owner[at], owner[at[rule] + 1] = level, level[rule]
-        flat, level = wide, owner
-    size, begin = np.ones(terminals + len(left), np.int64), np.arange(terminals + len(left))
-    size[used + terminals] = np.bincount(level, minlength=len(used))
-    begin[used + terminals] = terminals + C.prefix(size[used + terminals])[:-1]
-    table = np.concatenate([np.arange(terminals), flat]).astype(np.uint32)
+    return {"left": join(left).astype(np.uint32), "right": join(right).astype(np.uint32), "size": np.concatenate(sizes)[terminals:].astype(np.uint32), "symbols": seq.astype(np.uint32), "rows": rows}
+
+
+def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, size: np.ndarray, terminals: int) -> np.ndarray:
+    """All symbols replaced by what they stand for, each rule in its place, level by level."""
     own = symbols.astype(np.int64)
-    return table[C.ragged(begin[own], size[own])]
+    rule = own >= terminals
+    length = np.ones(len(own), np.int64)
+    length[rule] = size[own[rule] - terminals]
+    at = C.prefix(length)
+    out = np.empty(int(at[-1]), np.uint32)
+    at = at[:-1]
+    while len(own):
+        out[at[~rule]] = own[~rule]
+        own, at = own[rule] - terminals, at[rule]
+        a, b = left[own].astype(np.int64), right[own].astype(np.int64)
+        wide = np.ones(len(a), np.int64)
+        deep = a >= terminals
+        wide[deep] = size[a[deep] - terminals]
+        own, at = np.concatenate([a, b]), np.concatenate([at, at + wide])
+        rule = own >= terminals
+    return out
 
 
 # ---- files -----------------------------------------------------------------------------------------------------------
 
 
-def pack(doc_ids: list[int | None], ids: np.ndarray, first: np.ndarray, terminals: int) -> bytes:
-    grammar = compress(ids, first, terminals)
-    arrays = grammar | {"doc_id": np.array([0 if x is None else x for x in doc_ids], np.int64), "no_id": np.array([x is None for x in doc_ids], np.uint8), "start": first.astype(np.int64)}
+def _planes(a: np.ndarray, differences: bool) -> list[bytes]:
+    """Byte planes of whole numbers, low ones first, compressed; differences are taken modulo 2^64."""
+    a = a.astype(np.int64).view(np.uint64)
+    if differences:
+        step = np.diff(a, prepend=np.uint64(0)).view(np.int64)
+        a = (step << 1 ^ step >> 63).view(np.uint64)  # small ones stay small, whatever their sign
+    raw = a.astype("<u8").view(np.uint8).reshape(-1, 8)
+    most = int(np.bitwise_or.reduce(a)) if len(a) else 0
     press = zstandard.ZstdCompressor(level=1)
-    blobs = {k: press.compress(np.ascontiguousarray(v).tobytes()) for k, v in arrays.items()}
-    head = json.dumps({"terminals": terminals, "arrays": [[k, str(arrays[k].dtype), len(arrays[k]), len(b)] for k, b in blobs.items()]}).encode()
-    return MAGIC + len(head).to_bytes(8, "little") + head + b"".join(blobs.values())
+    return [press.compress(np.ascontiguousarray(raw[:, k]).tobytes()) for k in range((most.bit_length() + 7) // 8)]
+
+
+def _unplaned(planes: list[bytes], n: int, differences: bool) -> np.ndarray:
+    raw = np.zeros((n, 8), np.uint8)
+    for k, p in enumerate(planes):
+        raw[:, k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(p), np.uint8)
+    a = raw.view("<u8").ravel()
+    if differences:
+        a = np.cumsum((a >> np.uint64(1)) ^ (np.uint64(0) - (a & np.uint64(1))))
+    return a.view(np.int64)
+
+
+#: Arrays of a file that are stored as differences.
+_ASCENDING = ("left", "rows", "doc_id", "start")
+
+
+def pack(doc_ids: list[int | None], ids: np.ndarray, first: np.ndarray, terminals: int) -> bytes:
+    arrays = compress(ids, first, terminals) | {"doc_id": np.array([0 if x is None else x for x in doc_ids], np.int64), "no_id": np.array([x is None for x in doc_ids], np.int64), "start": first.astype(np.int64)}
+    blobs = {k: _planes(v, k in _ASCENDING) for k, v in arrays.items()}
+    head = json.dumps({"terminals": terminals, "arrays": [[k, len(arrays[k]), [len(x) for x in b]] for k, b in blobs.items()]}).encode()
+    return MAGIC + len(head).to_bytes(8, "little") + head + b"".join(x for b in blobs.values() for x in b)
 
 
 class TokenFile:
@@ -139,16 +198,18 @@ class TokenFile:
         n = int.from_bytes(data[8:16], "little")
         head, at = json.loads(data[16 : 16 + n]), 16 + n
         self.terminals, self.arrays = head["terminals"], {}
-        for name, kind, _, size in head["arrays"]:
-            self.arrays[name] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at : at + size]), kind)
-            at += size
+        for name, n, sizes in head["arrays"]:
+            ends = [at + int(x) for x in np.cumsum(sizes)] if sizes else []
+            self.arrays[name] = _unplaned([data[a:z] for a, z in zip([at, *ends], ends)], n, name in _ASCENDING)
+            at += sum(sizes)
         self.doc_ids = [None if x else y for x, y in zip(self.arrays["no_id"].tolist(), self.arrays["doc_id"].tolist())]
 
     def __len__(self) -> int:
         return len(self.doc_ids)
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.arrays["symbols"], self.arrays["left"], self.arrays["right"], self.terminals)
+        a = self.arrays
+        return expand(a["symbols"], a["left"], a["right"], a["size"], self.terminals)
 
     def ids(self, row: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids start to stop of one document; only the symbols that cover them are expanded."""
@@ -161,7 +222,7 @@ class TokenFile:
         stop = int(ends[-1]) if stop is None and len(ends) else stop or 0
         lo, hi = int(np.searchsorted(ends, start, side="right")), int(np.searchsorted(ends, stop, side="left")) + 1
         before = int(ends[lo - 1]) if lo else 0
-        return expand(own[lo:hi], a["left"], a["right"], self.terminals)[start - before : max(stop, start) - before]
+        return expand(own[lo:hi], a["left"], a["right"], a["size"], self.terminals)[start - before : max(stop, start) - before]
 
 
 def write_file(folder: str, name: str, data: bytes) -> str:
@@ -184,7 +245,7 @@ _MANIFEST = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("path", pa.
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, file_ids: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, file_ids: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes all documents in ascending id order (nulls first; rows that share an id stay separate, in any order) and
     returns the manifest: shard, part, path, n_docs, n_ids, n_bytes. A null text counts as empty: its only id is end_id.
 

@@ -3,7 +3,12 @@
 A text is parsed into phrases of two letters or more, the phrases into longer phrases, and so on. Where a phrase ends
 depends on few neighbours only: deterministic coin tossing turns symbols into labels of a handful of values, and ends
 lie where labels peak. A phrase's name is a hash of the names in it. So equal substrings get equal phrases except near
-their ends, wherever they stand. The fingerprint is a bottom-k sketch of the names of all levels from FIRST on.
+their ends, wherever they stand.
+
+A fingerprint is two bottom-k sketches, of the names of levels below FIRST (short phrases, of which unrelated texts share
+some) and of those from FIRST on (which few texts share, but of which short texts have few). Every text has both. The
+likeness of two fingerprints is the mean of the two Jaccard estimates, weighted by m : SHORT_WEIGHT for the long phrases,
+where m is the smaller number of long names: it passes from the one to the other without a step.
 """
 
 from __future__ import annotations
@@ -17,10 +22,12 @@ from pyspark.sql import DataFrame
 from tonearc.llm import common as C
 from tonearc.llm.ordering import with_next
 
-#: Levels of the hierarchy; names of levels below FIRST are too short to tell texts apart.
+#: Levels of the hierarchy; names of levels below FIRST are short phrases.
 LEVELS, FIRST = 6, 3
-#: Names in a sketch; the likeness of two sketches errs by about 1 / sqrt(SKETCH).
-SKETCH = 128
+#: Names in the sketches of short and of long phrases; the likeness of two sketches errs by about 1 / sqrt(names).
+SHORT, SKETCH = 64, 128
+#: What short phrases weigh against the number of long ones.
+SHORT_WEIGHT = 8
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -74,42 +81,52 @@ def parse(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return _mix(np.add.reduceat(term, start) + size.astype(np.uint64)), np.searchsorted(start, first)
 
 
-def sketches(points: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """The smallest SKETCH names of each row (all of a row's names where they are fewer); points: code points."""
+def sketches(points: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each row, the smallest SHORT names of its short phrases and the smallest SKETCH names of its long ones (all of
+    a row's names where they are fewer); points: code points."""
     names, rows = _mix(points.astype(np.uint64) + np.uint64(1)), first
-    found, owners = [], []
-    for level in range(LEVELS + 1):
-        if level:
-            names, rows = parse(names, rows)
-        owner = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-        # Short texts have few long phrases: what is left of a row at its last levels counts as well.
-        keep = np.full(len(names), level >= FIRST)
-        keep |= (np.diff(first) < 64)[owner]
-        found.append(names[keep])
-        owners.append(owner[keep])
-    names, owner = np.concatenate(found), np.concatenate(owners)
-    short = names >> np.uint64(32)
-    key = owner.astype(np.uint64) << np.uint64(32) | short
-    key.sort()
-    if len(key):
-        key = key[np.append(True, key[1:] != key[:-1])]
-    bounds = np.searchsorted(key >> np.uint64(32), np.arange(len(first), dtype=np.uint64))
-    short = (key & np.uint64(0xFFFFFFFF)).astype(">u4")
-    return [short[a : min(z, a + SKETCH)] for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-
-
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimate of the Jaccard similarity of the name sets; 1 for two empty ones."""
+    found: tuple[list, list] = [], []
+    for level in range(1, LEVELS + 1):
+        names, rows = parse(names, rows)
+        owner = np.repeat(np.arange(len(rows) - 1, dtype=np.uint64), np.diff(rows))
+        found[level >= FIRST].append(owner << np.uint64(32) | names >> np.uint64(32))
+    parts = []
+    for some, size in zip(found, (SHORT, SKETCH)):
+        key = np.concatenate(some)
+        key.sort()
+        if len(key):
+            key = key[np.append(True, key[1:] != key[:-1])]
+        bounds = np.searchsorted(key >> np.uint64(32), np.arange(len(first), dtype=np.uint64))
+        short = (key & np.uint64(0xFFFFFFFF)).astype(">u4")
+        parts.append([short[a : min(z, a + size)] for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
+    return list(zip(*parts))
+
+
+def _jaccard(a: np.ndarray, b: np.ndarray, size: int) -> float:
+    """Estimate of the Jaccard similarity of the name sets of two sketches; 1 for two empty ones."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     both = np.union1d(a, b)
-    k = min(SKETCH, len(both)) if len(a) >= SKETCH or len(b) >= SKETCH else len(both)
+    k = min(size, len(both)) if len(a) >= size or len(b) >= size else len(both)
     return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), both[:k], assume_unique=True)) / k
 
 
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Likeness of two fingerprints, 0 to 1; 1 for two empty ones."""
+    long = min(len(a[1]), len(b[1]))
+    short = _jaccard(a[0], b[0], SHORT)
+    return (SHORT_WEIGHT * short + long * _jaccard(a[1], b[1], SKETCH)) / (SHORT_WEIGHT + long) if long else short
+
+
+def show(sketch: tuple[np.ndarray, np.ndarray]) -> str:
+    """Names of short phrases, a colon, names of long ones; empty for a text without letters."""
+    return ":".join(s.tobytes().hex() for s in sketch) if len(sketch[0]) else ""
+
+
 def compare(fingerprint: str, other: str) -> float:
-    """likeness() of two fingerprints."""
-    return likeness(np.frombuffer(bytes.fromhex(fingerprint), ">u4"), np.frombuffer(bytes.fromhex(other), ">u4"))
+    """likeness() of two fingerprints as shown."""
+    read = lambda f: tuple(np.frombuffer(bytes.fromhex(x), ">u4") for x in (f or ":").split(":"))
+    return likeness(read(fingerprint), read(other))
 
 
 def _points(text: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +153,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         # A row's next is the row after it, but for the last one.
         own = sketches(*_points([*text, after[-1]]))
         changed = sketches(*_points(edited))
-        show = lambda s: s.tobytes().hex()
         return pa.RecordBatch.from_arrays(
             [
                 b.column("doc_id"), pa.array([len(t) for t in text], pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]),

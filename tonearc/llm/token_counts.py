@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from tonearc.llm import common as C
 from tonearc.llm.encoding import Encoder
 
+#: Pre-tokens whose counts a bucket's task keeps at once, twice over; one that comes again after so many others is counted anew.
+REMEMBER = 1_000_000
 #: Bytes of text in a block; larger blocks repeat fewer pre-tokens between them.
 BLOCK_BYTES = 24 << 20
 
@@ -125,7 +127,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, buckets: in
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
-        known: dict[bytes, int] = {}
+        young: dict[bytes, int] = {}
+        old: dict[bytes, int] = {}
         for b in batches:
             out = []
             for blob in b.column("items").to_pylist():
@@ -135,12 +138,16 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, buckets: in
                 counts = []
                 for at, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
                     piece = raw[at:end]
-                    k = known.get(piece)
+                    k = young.get(piece)
                     if k is None:
-                        k = known[piece] = len(encoder.encode(piece))
+                        k = old.get(piece)
+                        young[piece] = k = len(encoder.encode(piece)) if k is None else k
+                        if len(young) > REMEMBER:
+                            young, old = {}, young
                     counts.append(k)
                 out.append(_squeeze(np.array(counts, "<u4")))
             yield pa.RecordBatch.from_arrays([b.column("block"), b.column("bucket"), pa.array(out, pa.binary())], ["block", "bucket", "counts"])
+        C.give_back()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

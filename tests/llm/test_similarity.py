@@ -47,12 +47,25 @@ def test_line_dedup_without_broadcast(docs, rows, monkeypatch):
     assert sorted(map(tuple, got), key=str) == brute_lines(rows)
 
 
+def test_line_dedup_of_many_segments_and_lines(spark, monkeypatch):
+    """Small segments, and a document of many lines of which many go."""
+    monkeypatch.setattr(line_dedup, "SEGMENT_KEYS", 50)
+    many = [f"line number {k} of a long text" for k in range(4000)]
+    rows = [(1, "\n".join(many)), (2, "\n".join(many[::2] + [f"another line {k}" for k in range(500)])), (3, "\n".join([many[0]] * 300)), (4, None), (5, "Line Number 7 of a LONG text \r")]
+    got = line_dedup.digest(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert sorted(map(tuple, got), key=str) == brute_lines(rows)
+
+
 def test_bloom_knows_all_it_was_given():
     rng = np.random.default_rng(0)
     a, b = rng.integers(-(2**63), 2**63 - 1, (2, 5000))
-    bloom = line_dedup.Bloom(5000)
-    bloom.add(a)
-    assert bloom.has(a).all() and bloom.has(b).mean() < 0.01
+    for keys in (5000, 1_000_000):
+        bloom = line_dedup.Bloom(keys)
+        bloom.add(a)
+        bloom.fold()
+        assert bloom.has(a).all() and bloom.has(b).mean() < 0.02 and len(bloom.bits) <= 1 << 14
+        again = line_dedup.Bloom(0, bloom.bits)
+        assert again.has(a).all()
 
 
 def grams(text, n=3):

@@ -3,10 +3,12 @@
 A line's key is the line without [\\x20\\x09-\\x0D] at both ends and with A-Z lower-cased. Keys of at least min_chars code
 points that at least two documents hold lose all their lines except in the smallest id that holds them.
 
-1. Every task reduces its lines to distinct 64-bit hashes, each with whether one document or more of that task hold it,
-   so a line that a third of all documents share is one row a task from here on.
-2. Each hash partition puts what it sees first into a once-seen Bloom filter and what the filter already knows into a
-   twice-seen one. The twice-seen filters come back: by broadcast while they are small, else by a join on the segment.
+1. Every task reduces its lines to distinct 64-bit hashes, each with whether one document or more of that batch hold it,
+   so a line that a third of all documents share is one row a batch from here on. Hashes are cut into segments of at most
+   SEGMENT_KEYS on average, however many lines there are.
+2. Each segment's hashes stream through two Bloom filters, whose size was fixed before: what is seen first goes into the
+   once-seen filter, what that already knows into the twice-seen one; nothing else is kept. Twice-seen filters are folded
+   to what they hold and come back: by broadcast while they are small, else by a join on the segment.
 3. Only lines that the twice-seen filter suspects are shuffled with their text. Equal keys are counted exactly (partial
    aggregation first) and the smallest id is chosen; what the filter suspected wrongly goes.
 """
@@ -18,12 +20,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonearc.llm import common as C
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Hashes of a segment, so that its two filters take some 16 MB.
+SEGMENT_KEYS = 4_000_000
 #: Probes into a filter and bits a key: one key in a thousand is suspected wrongly.
 PROBES, BITS_PER_KEY = 4, 16
 #: A key that this many suspected lines or more hold is joined by broadcast; at most 1 / HOT_SHARE such keys exist.
@@ -62,6 +67,14 @@ class Bloom:
         for at, bit in self.places(h):
             np.bitwise_or.at(self.bits, at, bit)
 
+    def fold(self) -> None:
+        """Halves the filter while it stays as sparse as it was planned to be; what it knows it still knows."""
+        while len(self.bits) > 128:
+            half = self.bits[: len(self.bits) // 2] | self.bits[len(self.bits) // 2 :]
+            if np.bitwise_count(half).sum() > len(half) * 8 * PROBES / BITS_PER_KEY:
+                return
+            self.bits, self.mask = half, np.uint64(len(half) * 8 - 1)
+
     def has(self, h: np.ndarray) -> np.ndarray:
         found = np.ones(len(h), bool)
         for at, bit in self.places(h):
@@ -69,46 +82,43 @@ class Bloom:
         return found
 
 
-def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
+def segment_of(h, segments: int):
+    """Segment of hashes (an array or a column)."""
+    if isinstance(h, Column):
+        return (F.shiftrightunsigned(h, 40) % segments).cast("int")
     return ((h.astype(np.uint64) >> np.uint64(40)) % np.uint64(segments)).astype(np.int32)
 
 
-_HASHES = "segment int, hash long, twice boolean"
-
-
-def _distinct_hashes(segments: int):
+def _distinct_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of a batch, each once, and whether several documents of the batch hold it (documents are distinct in it)."""
+    for b in batches:
+        h, n = np.unique(b.column("hash").to_numpy(), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n > 1)], ["hash", "twice"])
 
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, n = np.unique(b.column("hash").to_numpy(), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(segment_of(h, segments)), pa.array(h), pa.array(n > 1)], ["segment", "hash", "twice"])
-
-    return reduce
 
+def _filters(keys: int):
+    """The twice-seen filter of each segment in a partition, from batches (segment, hash, twice); keys: about as many
+    hashes as a segment has."""
 
-def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The twice-seen filter of each segment in this partition."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for b in batches:
-        seg, h, twice = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        order = np.argsort(seg, kind="stable")
-        kinds, at = np.unique(seg[order], return_index=True)
-        for k, own in zip(kinds.tolist(), np.split(order, at[1:])):
-            held.setdefault(k, []).append((h[own], twice[own]))
-    for k, some in held.items():
-        once, suspects = Bloom(sum(len(h) for h, _ in some)), []
-        for h, twice in some:
-            u, first, n = np.unique(h, return_index=True, return_counts=True)
-            again = np.zeros(len(h), bool)
-            again[first] = n > 1
-            suspects.append(h[twice | again | once.has(h)])
-            once.add(u)
-        seen = np.unique(np.concatenate(suspects))
-        if len(seen):
-            second = Bloom(len(seen))
-            second.add(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([second.bits.tobytes()])], ["segment", "bits"])
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, tuple[Bloom, Bloom]] = {}
+        for b in batches:
+            seg, h, twice = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            order = np.argsort(seg, kind="stable")
+            kinds, at = np.unique(seg[order], return_index=True)
+            for k, own in zip(kinds.tolist(), np.split(order, at[1:])):
+                once, again = seen.setdefault(k, (Bloom(keys), Bloom(keys)))
+                u, first, n = np.unique(h[own], return_index=True, return_counts=True)
+                more = (n > 1) | once.has(u)
+                more |= np.bincount(np.searchsorted(u, h[own][twice[own]]), minlength=len(u)) > 0
+                again.add(u[more])
+                once.add(u)
+        for k, (_, again) in seen.items():
+            if again.bits.any():
+                again.fold()
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([again.bits.tobytes()])], ["segment", "bits"])
+
+    return build
 
 
 def _suspected(batches: Iterator[pa.RecordBatch], filters: dict[int, Bloom], segments: int) -> Iterator[pa.RecordBatch]:
@@ -126,9 +136,11 @@ def _suspected(batches: Iterator[pa.RecordBatch], filters: dict[int, Bloom], seg
 def suspects(keys: DataFrame, broadcast_bytes: int = C.BROADCAST_BYTES) -> DataFrame:
     """The rows of keys (doc_id, key, hash; a document's keys are distinct) whose hash the twice-seen filters know."""
     spark = keys.sparkSession
-    segments = C.partitions(spark)
-    spread = keys.select("hash").mapInArrow(_distinct_hashes(segments), _HASHES).repartition(segments, "segment")
-    found = C.saved(spread.mapInArrow(_filters, "segment int, bits binary"), "twice-seen")
+    hashes = C.saved(keys.select("hash").mapInArrow(_distinct_hashes, "hash long, twice boolean"), "line-hashes")
+    total = hashes.count()
+    segments = max(C.partitions(spark), -(-total // SEGMENT_KEYS))
+    spread = hashes.select(segment_of(F.col("hash"), segments).alias("segment"), "hash", "twice").repartitionById(segments, "segment")
+    found = C.saved(spread.mapInArrow(_filters(total // segments * 5 // 4 + 64), "segment int, bits binary"), "twice-seen")
     size = found.agg(F.sum(F.length("bits"))).first()[0] or 0
     if size <= broadcast_bytes:
         shared = spark.sparkContext.broadcast({r.segment: bytes(r.bits) for r in found.collect()})
@@ -185,10 +197,26 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", te
     carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(0)
     text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carried.alias("carried"))
     joined = text.join(lost.hint("shuffle_hash"), text.doc_id.eqNullSafe(lost.lost_id), "left")
-    lines = joined.select("doc_id", _lines(F.col("text")).alias("lines"), "lost", "carried")
-    kept = F.when(F.col("lost").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("lost", line_key(x))))
-    out = lines.select("doc_id", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"), "carried")
-    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("kept"), *[F.col("carried")[c].alias(c) for c in carry])
+    rows = joined.select("doc_id", "text", F.transform("lost", lambda k: k.cast("binary")).alias("lost"), "carried")
+    lower = bytes.maketrans(_UPPER.encode(), _LOWER.encode())
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in C.text_steps(batches):
+            column, n = step.column("text"), step.num_rows
+            left: list[bytes | None] = [None] * n
+            gone = np.zeros(n, np.int64)
+            for k in np.flatnonzero(step.column("lost").is_valid().to_numpy(zero_copy_only=False)).tolist():
+                lost_keys = set(step.column("lost")[k].as_py())
+                lines = column[k].as_buffer().to_pybytes().split(b"\n")
+                kept = [x for x in lines if x.strip(b" \t\n\x0b\x0c\r").translate(lower) not in lost_keys]
+                left[k], gone[k] = b"\n".join(kept), len(lines) - len(kept)
+            lines = pc.add(pc.count_substring(column, "\n").cast(pa.int64()), 1)
+            kept = pc.coalesce(pa.array(left, pa.binary()).view(pa.string()), column)
+            yield pa.RecordBatch.from_arrays([step.column("doc_id"), lines, pa.array(gone), kept, step.column("carried")], ["doc_id", "n_lines", "n_dropped", "kept", "carried"])
+
+    kind = f"doc_id long, n_lines long, n_dropped long, kept string, carried {rows.schema['carried'].dataType.simpleString()}"
+    out = rows.mapInArrow(drop, kind)
+    return out.select("doc_id", "n_lines", "n_dropped", "kept", *[F.col("carried")[c].alias(c) for c in carry])
 
 
 def digest(docs: DataFrame) -> DataFrame:

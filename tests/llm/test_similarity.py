@@ -298,10 +298,105 @@ def test_decontamination_finds_items_without_literal_windows(spark):
     assert sorted((r.doc_id, r.item_id, r.exact, r.coverage) for r in got) == [(1, 1, True, 1.0), (2, 2, True, 1.0), (3, 3, True, 1.0)]
 
 
-def test_decontamination_by_shuffle(spark, items, monkeypatch):
-    monkeypatch.setattr(decontamination, "FILTER_WINDOWS", 0)
-    docs = spark.createDataFrame([(5, "x the quick brown fox jumps over the lazy dog while seven silver lamps light up a quiet garden y")], "doc_id long, text string")
-    assert [(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()] == [(5, 2)]
+def brute_template(text):
+    """(token, value or None) of each template token."""
+    raw, out, end = text.encode(), [], 0
+    found = []
+    for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", raw):
+        word = m.group().decode()
+        start = not found or any(c in raw[end : m.start()] for c in b".!?:\n")
+        end = m.end()
+        kind = "number" if word[0] in "0123456789" else "name" if word[0].isupper() and not start else "word"
+        found.append([kind, word.lower()])
+    for k in range(1, len(found)):
+        if found[k][0] == "word" and found[k - 1][0] == "number" and found[k][1].encode() in decontamination.UNITS:
+            found[k][0] = "unit"
+    for kind, low in found:
+        if kind == "word":
+            out.append((low, None))
+        elif out and out[-1][0] == (kind,):
+            out[-1] = ((kind,), (*out[-1][1], low))
+        else:
+            out.append(((kind,), (low,)))
+    return out
+
+
+def brute_contaminated(docs, items, window=8):
+    found = set()
+    for item, text in items:
+        own = brute_template(text or "")
+        n = min(window, len(own))
+        plain = [(w, None) for w in words(text)]
+        good = [k for k in range(len(own) - n + 1) if n and sum(v is None for _, v in own[k : k + n]) >= 0.5 * n]
+        modes = [(False, own, n, good)]
+        if n and len(good) < len(own) - n + 1 and plain:
+            m = min(window, len(plain))
+            modes.append((True, plain, m, list(range(len(plain) - m + 1))))
+        for doc, body in docs:
+            for verbatim, mine, m, places in modes:
+                theirs = [(w, None) for w in words(body)] if verbatim else brute_template(body or "")
+                at = defaultdict(list)
+                for k in range(len(theirs) - m + 1):
+                    at[tuple(w for w, _ in theirs[k : k + m])].append(k)
+                hits = [(d, k) for k in places for d in at.get(tuple(w for w, _ in mine[k : k + m]), ())]
+                diagonals, runs = sorted({d - k for d, k in hits}), {}
+                for q, x in enumerate(diagonals):
+                    runs[x] = runs[diagonals[q - 1]] + (x - diagonals[q - 1] > 3) if q else 0
+                parts = defaultdict(list)
+                for d, k in hits:
+                    for part in ("all", ("run", runs[d - k]), ("at", d - k)):
+                        parts[part].append((d, k))
+                for some in parts.values():
+                    pairs = {(a, b) for d, k in some for (_, a), (_, b) in zip(mine[k : k + m], theirs[d : d + m]) if a is not None}
+                    fit = min(len({a for a, _ in pairs}), len({b for _, b in pairs})) / len(pairs) if pairs else 1
+                    if len({k for _, k in some}) >= 0.3 * len(places) and fit >= 0.9:
+                        found.add((doc, item, all(a == b for a, b in pairs)))
+    return {(d, i, max(e for x, y, e in found if (x, y) == (d, i))) for d, i, _ in found}
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_by_brute_force(spark, broadcast, monkeypatch):
+    """Random texts with items, variants of items with and without consistent slots, and cut ones; long texts, ties and
+    repeated rows; by broadcast, and with a crowded Bloom filter and shuffled windows."""
+    import random
+
+    if not broadcast:
+        monkeypatch.setattr(decontamination, "FILTER_WINDOWS", 0)
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(decontamination, "HOT_SHARE", 0.02)
+    rng = random.Random(6)
+    vocabulary = ["red", "house", "runs", "over", "the", "of", "small", "tree", "when", "blue", "sum", "cost"]
+    names, units = ["Ann", "Bob", "Émile", "Dora"], ["km", "kg", "dollars"]
+
+    def sentence(n, swap=None):
+        out = []
+        for _ in range(n):
+            x = rng.random()
+            out.append(rng.choice(vocabulary) if x < 0.7 else str(rng.randint(1, 9)) if x < 0.85 else f"{rng.randint(1, 9)} {rng.choice(units)}" if x < 0.92 else rng.choice(names))
+        return " ".join(out)
+
+    items = [(k, sentence(rng.randint(1, 30))) for k in range(12)] + [(20, None), (21, ""), (22, "5 6 7 8 9 1 2 3 4 5"), (23, "red house")]
+    docs = []
+    for k in range(40):
+        body = rng.choice(items[:12])[1]
+        how = k % 5
+        if how == 1:  # every value another, the same for the same
+            new = {x: y for x, y in zip(names, [*names[1:], names[0]])} | {str(d): str(d % 9 + 1) for d in range(1, 10)}
+            body = " ".join(new.get(w, w) for w in body.split())
+        elif how == 2:
+            body = " ".join(str(rng.randint(1, 9)) if w.isdigit() else w for w in body.split())
+        elif how == 3:
+            body = " ".join(body.split()[: len(body.split()) // 2])
+        elif how == 4:
+            body = sentence(30)
+        docs.append((k, f"{sentence(6)}, {body} {sentence(6)}."))
+    docs += [(50, docs[0][1] + " " + docs[1][1]), (51, sentence(4000) + " " + items[0][1]), (52, items[22 - 20 + 12][1]), (53, None), (54, "")]
+    rows = [*docs, docs[0], docs[3]]
+    clash = ["hash", "at", "name", "slots", "item_id", "verbatim"]
+    source = spark.createDataFrame([(*r, *["x"] * len(clash)) for r in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in clash))
+    got = {(r.doc_id, r.item_id, r.exact) for r in decontamination.contaminated(source, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_contaminated(docs, items)
+    assert got == want and len(want) > 15 and 0 < sum(e for *_, e in want) < len(want)
 
 
 def test_template_tokens():

@@ -81,6 +81,10 @@ class Bloom:
             found &= (self.bits[at] & bit) != 0
         return found
 
+    def where(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes that the filter knows."""
+        return np.flatnonzero(self.has(h))
+
 
 def segment_of(h, segments: int):
     """Segment of hashes (an array or a column)."""

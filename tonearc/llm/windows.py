@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Reference windows up to this number go to every task as a filter (8 bytes each, 16 MB at most) and their table is
-#: broadcast to the join; with more, all windows of the documents are shuffled to the join.
+#: Reference windows up to this number go to every task as a filter of their hashes (8 bytes each, 16 MB at most); more of
+#: them as a Bloom filter.
 FILTER_WINDOWS = 2_000_000
 
 

@@ -429,6 +429,48 @@ def test_license_scan(spark):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_license_scan_judges_rows_by_their_texts(spark):
+    """Null ids, ids of several texts, copies, long texts and clashing columns."""
+    gpl, plain = "This work is licensed under the GNU General Public License, version 3.", "nothing here at all"
+    rows = [(None, gpl), (None, plain), (5, gpl), (5, plain), (7, gpl), (7, gpl), (8, "word " * 60000 + gpl + " word" * 60000), (9, gpl + " " + gpl)]
+    docs = spark.createDataFrame([(*r, "x", "x", "x") for r in rows], "doc_id long, text string, key string, runs string, spans string")
+    got = sorted(((r.doc_id, r.labels, r.score, r.n_words) for r in license_scan.scan(docs).collect()), key=str)
+    assert got == sorted(((i, "gpl-3" if "GNU" in t else "", 1.0 if "GNU" in t else 0.0, len(words(t))) for i, t in rows), key=str)
+
+
+def test_license_excerpts_in_prose(spark):
+    """A verbatim excerpt of 26 words of a template inside prose that shares its common words is found, with its place;
+    20 words of it are the least, scattered words are none, and a text of repeated phrases stays cheap."""
+    template = license_scan.TEMPLATES["mit"][1].split()
+    prose = "the people of the town and the owner of the house went to the sea without any of the copies and to the shop of this or the other".split()
+    text = {
+        1: " ".join([*prose, *template[10:36], *prose]), 2: " ".join([*prose, *template[10:20], *prose]), 3: " ".join(prose * 3),
+        4: " ".join(template[::3]), 5: " ".join(template[10:36] * 400), 6: license_scan.TEMPLATES["mit"][3],
+    }
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(text.items()), "doc_id long, text string")).collect()}
+    assert {i for i, r in got.items() if r.labels == "mit"} == {1, 5, 6} and all(got[i].labels == "" for i in (2, 3, 4))
+    span = got[1].spans[0]
+    n = len(words(" ".join(prose)))
+    assert n - 2 <= span.first <= n + 1 and abs(span.last - (n + len(words(" ".join(template[10:36]))) - 1)) <= 2
+
+
+def test_longest_common_subsequence():
+    """Against plain dynamic programming."""
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = rng.integers(0, 4, rng.integers(0, 12)), rng.integers(0, 4, rng.integers(1, 12))
+        best = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1, j + 1] = best[i, j] + 1 if a[i] == b[j] else max(best[i, j + 1], best[i + 1, j])
+        at = license_scan._common(a, b)
+        assert len(at) == best[-1, -1] and at == sorted(set(at))
+        k = 0
+        for x in b:
+            k += k < len(at) and a[at[k]] == x
+        assert k == len(at)
+
+
 def test_empty(none):
     assert line_dedup.dedup_lines(none).count() == 0
     assert ngram_join.near_duplicates(none).count() == 0

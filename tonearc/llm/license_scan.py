@@ -4,6 +4,9 @@ All rolling word k-gram hashes of documents are joined to the positions of licen
 diagonal (place in the document minus place in the template); neighbouring diagonals merge into one span, which survives
 insertions and deletions of a few words; spans are verified word by word against the text. Licence phrases, found as
 consecutive words, are the base; the templates add labels of their own.
+
+What is found depends on a text alone, so matches and spans are keyed by a 128-bit digest of the text: copies are verified
+once, and ids may be null or repeated.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ TEMPLATES = {
     "mit": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "apache-2": [
         "Licensed under the Apache License, Version 2.0.",
@@ -40,7 +45,7 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "lgpl-3": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."],
-    "bsd-3": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
+    "bsd-3": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "mpl-2": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
     "unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
@@ -60,8 +65,8 @@ def _hash(words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
 
 
-def _similarity(own: np.ndarray, theirs: np.ndarray) -> tuple[int, int, int]:
-    """Words in common order (longest common subsequence), and where the first and last of them stand in own."""
+def _common(own: np.ndarray, theirs: np.ndarray) -> list[int]:
+    """Where the words of a longest common subsequence stand in own, ascending."""
     n, m = len(own), len(theirs)
     best = np.zeros((n + 1, m + 1), np.int32)
     same = own[:, None] == theirs[None, :]
@@ -77,7 +82,46 @@ def _similarity(own: np.ndarray, theirs: np.ndarray) -> tuple[int, int, int]:
             i -= 1
         else:
             j -= 1
-    return int(best[n, m]), (at[-1] if at else 0), (at[0] if at else -1)
+    return at[::-1]
+
+
+def _densest(at: list[int], least: float) -> tuple[int, int, int]:
+    """The stretch (words matched, first, last) of most matched words, each missed one costing as many as keep a share of
+    `least`: common words of the prose around an excerpt do not widen it."""
+    cost = least / max(1 - least, 1e-9)
+    best, found, run, start = 0.0, (0, 0, -1), 0.0, 0
+    for k, x in enumerate(at):
+        run -= cost * (x - at[k - 1] - 1) if k else 0.0
+        if run <= 0:
+            run, start = 0.0, k
+        run += 1
+        if run > best:
+            best, found = run, (k - start + 1, at[start], x)
+    return found
+
+
+def _verified(h: np.ndarray, low: int, high: int, wanted: np.ndarray, least: float) -> tuple[float, int, int] | None:
+    """(similarity, first word, last word) of a template among diagonals low to high of a text's words, if it is there.
+    Wide runs are looked at a template's length at a time, so what is compared stays a few templates long."""
+    found = None
+    for d in range(low, high + 1, len(wanted)):
+        a, z = max(0, d), min(len(h), min(high, d + len(wanted)) + len(wanted))
+        at = _common(h[a:z], wanted)
+        if not at:
+            continue
+        matched, lo, hi = _densest(at, least)
+        options = [(len(at) / len(wanted), a + at[0], a + at[-1]), (matched / max(hi - lo + 1, 20), a + lo, a + hi)]
+        share, lo, hi = max(options, key=lambda o: o[0])
+        if share >= least and (found is None or share > found[0]):
+            found = min(1.0, share), lo, hi
+    return found
+
+
+def _digests(column: pa.Array) -> list[bytes]:
+    """128 bits of each text."""
+    buf, rows = C.text_bytes(column)
+    view = memoryview(buf)
+    return [xxhash.xxh3_128_digest(view[a:z]) for a, z in zip(rows[:-1].tolist(), rows[1:].tolist())]
 
 
 class _Words:
@@ -94,9 +138,10 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, phrases
     best verified similarity, 0 without any), spans (label, first and last word, similarity).
 
     A span counts if at least `votes` k-grams vote for its diagonals (all of them for templates of fewer) and a share
-    `least` of the template's words, or of a stretch of 20 words or more of it, stands there in order. A null text counts
-    as empty; null ids, repeated rows (all rows of one id get the spans of any of them) and ties stay as they are; an
-    empty table gives no rows; other columns are ignored."""
+    `least` of the template's words stands there in order, or a stretch of 20 words or more in which that share of words
+    is the template's. A null text counts as empty; rows of null or repeated ids are each judged by their own text; of
+    spans that overlap the most similar stays, then the longest, then the smaller label; an empty table gives no rows;
+    other columns are ignored."""
     spark = docs.sparkSession
     phrases = PHRASES if phrases is None else phrases
     templates = TEMPLATES if templates is None else templates
@@ -110,8 +155,9 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, phrases
     positions = spark.createDataFrame(rows, "template int, template_at int, hash long")  # the templates' own size
     hashes = np.array([r[2] for r in rows], np.int64).view(np.uint64)
 
-    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = [(_hash(split(p)), label) for p, label in phrases.items()]
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Places of phrases, and all k-grams that templates have."""
+        wanted, test = [(_hash(split(p)), label) for p, label in phrases.items()], Known(hashes)
         for step in C.text_steps(batches):
             own = _Words(step.column("text"))
             n_rows, n = step.num_rows, np.diff(own.first)
@@ -133,30 +179,39 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, phrases
             np.minimum.at(low, row, at - own.first[row])
             np.maximum.at(high, row, at - own.first[row])
             none = count == 0
-            yield pa.RecordBatch.from_arrays(
-                [step.column("doc_id"), pa.array(n), pa.array(count), pa.array(low, mask=none), pa.array(high, mask=none), pa.array([sorted(s) for s in names], pa.list_(pa.string()))],
-                ["doc_id", "n_words", "n_base", "first_word", "last_word", "base"],
-            )
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test = Known(hashes)
-        for step in C.text_steps(batches):
-            own = _Words(step.column("text"))
             at, h = windows(own.hash, own.first, k)
             keep = test.where(h)
             at, h = at[keep], h[keep]
             row = np.searchsorted(own.first, at, side="right") - 1
-            yield pa.RecordBatch.from_arrays([step.column("doc_id").take(pa.array(row)), pa.array((at - own.first[row]).astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "doc_at", "hash"])
-
-    hits = text.mapInArrow(grams, "doc_id long, doc_at int, hash long").join(F.broadcast(positions), "hash")
-    diagonals = hits.withColumn("diagonal", F.col("doc_at") - F.col("template_at")).groupBy("doc_id", "template", "diagonal").agg(F.count(F.lit(1)).alias("votes"))
-    order = Window.partitionBy("doc_id", "template").orderBy("diagonal")
+            begin = C.prefix(np.bincount(row, minlength=n_rows))
+            keys = [key if some else None for key, some in zip(_digests(step.column("text")), np.diff(begin) > 0)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    step.column("doc_id"), pa.array(n), pa.array(count), pa.array(low, mask=none), pa.array(high, mask=none), pa.array([sorted(s) for s in names], pa.list_(pa.string())),
+                    pa.array(keys, pa.binary()), C.lists((at - own.first[row]).astype(np.int32), begin, pa.int32()), C.lists(h.view(np.int64), begin, pa.int64()),
+                ],
+                ["doc_id", "n_words", "n_base", "first_word", "last_word", "base", "key", "at", "hashes"],
+            )
+
+    looked = C.saved(text.mapInArrow(look, "doc_id long, n_words long, n_base long, first_word long, last_word long, base array<string>, key binary, at array<int>, hashes array<long>"), "licence-words")
+    texts = looked.where(F.col("key").isNotNull()).select("key", "at", "hashes").dropDuplicates(["key"])
+    grams = texts.select("key", F.explode(F.arrays_zip("at", "hashes")).alias("g")).select("key", F.col("g.at").alias("doc_at"), F.col("g.hashes").alias("hash"))
+    hits = grams.join(F.broadcast(positions) if len(rows) * 16 <= C.BROADCAST_BYTES else positions, "hash")
+    diagonals = hits.withColumn("diagonal", F.col("doc_at") - F.col("template_at")).groupBy("key", "template", "diagonal").agg(F.count(F.lit(1)).alias("votes"))
+    order = Window.partitionBy("key", "template").orderBy("diagonal")
     new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > drift).cast("int"), F.lit(0))
     merged = diagonals.withColumn("new", new).withColumn("run", F.sum("new").over(order))
-    runs = merged.groupBy("doc_id", "template", "run").agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
+    runs = merged.groupBy("key", "template", "run").agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
     sizes = [len(w) for _, w in known]
     need = F.element_at(F.array(*[F.lit(min(votes, n - k + 1)) for n in sizes]), F.col("template") + 1)
-    voted = C.saved(runs.where(F.col("votes") >= need).groupBy("doc_id").agg(F.collect_list(F.struct("template", "low", "high")).alias("runs")), "licence-spans")
+    voted = C.saved(runs.where(F.col("votes") >= need).groupBy("key").agg(F.collect_list(F.struct("template", "low", "high")).alias("runs")), "licence-spans")
+
+    few = (voted.agg(F.sum(F.size("runs") * 40 + 80)).first()[0] or 0) <= C.BROADCAST_BYTES
+    kind = "key binary, spans array<struct<label:string,first:int,last:int,similarity:double>>"
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_digests(b.column("text")), pa.binary()), b.column("text")], ["key", "text"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         theirs = [(label, _hash(w)) for label, w in known]
@@ -167,25 +222,19 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, phrases
                 h, spans = own.hash[own.first[r] : own.first[r + 1]], []
                 for run in runs:
                     label, wanted = theirs[run["template"]]
-                    a, z = max(0, run["low"]), min(len(h), run["high"] + len(wanted))
-                    equal, lo, hi = _similarity(h[a:z], wanted)
-                    whole, stretch = equal / len(wanted), equal / max(hi - lo + 1, 20)
-                    share = max(whole, stretch)
-                    if share >= least:
-                        spans.append({"label": label, "first": a + lo, "last": a + hi, "similarity": min(1.0, share)})
-                kept: list[dict] = []  # of spans that overlap, the most similar (then the longest)
+                    if found := _verified(h, run["low"], run["high"], wanted, least):
+                        spans.append({"label": label, "first": found[1], "last": found[2], "similarity": found[0]})
+                kept: list[dict] = []
                 for s in sorted(spans, key=lambda s: (-s["similarity"], s["first"] - s["last"], s["label"])):
                     if all(s["last"] < o["first"] or s["first"] > o["last"] or (s["similarity"] == o["similarity"] and s["label"] == o["label"]) for o in kept):
                         kept.append(s)
                 out.append(sorted(kept, key=lambda s: (s["first"], s["label"])))
-            kind = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("similarity", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([step.column("doc_id"), pa.array(out, kind)], ["doc_id", "spans"])
-
-    few = (voted.agg(F.sum(F.size("runs") * 40 + 60)).first()[0] or 0) <= C.BROADCAST_BYTES
-    chosen = text.where(F.col("doc_id").isNotNull()).join(F.broadcast(voted) if few else voted, "doc_id")
-    spans = chosen.mapInArrow(verify, "doc_id long, spans array<struct<label:string,first:int,last:int,similarity:double>>")
-    spans = spans.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
-    found = text.mapInArrow(base, "doc_id long, n_words long, n_base long, first_word long, last_word long, base array<string>").join(spans, "doc_id", "left")
+            shape = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("similarity", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([step.column("key"), pa.array(out, shape)], ["key", "spans"])
+
+    chosen = text.select("text").mapInArrow(keyed, "key binary, text string").join(F.broadcast(voted) if few else voted, "key")
+    spans = chosen.dropDuplicates(["key"]).mapInArrow(verify, kind)  # a text and its copies once
+    found = looked.drop("at", "hashes").join(spans, "key", "left")
     own = F.coalesce(F.transform("spans", lambda s: s.label), F.array().cast("array<string>"))
     best = F.coalesce(F.array_max(F.transform("spans", lambda s: s.similarity)), F.lit(0.0))
     return found.select(

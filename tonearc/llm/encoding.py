@@ -30,7 +30,7 @@ class Encoder:
 
     _kept: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, remember: int = 500_000):
+    def __init__(self, path: str, remember: int = 700_000):
         quiet_tokenizers()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -69,23 +69,24 @@ class Encoder:
             ids += [t.id for t in self.tokenize(word)]
         return ids
 
-    def ids(self, piece: bytes) -> bytes:
-        """Ids as uint16 or, if the vocabulary needs it, uint32."""
-        found = self.young.get(piece)
-        if found is None:
-            found = self.old.get(piece)
-            if found is None:
-                found = array(self.code, self.encode(piece)).tobytes()
-            self.young[piece] = found
-            if len(self.young) > self.remember:
-                self.old, self.young = self.young, {}
+    def many(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece as uint16 or, if the vocabulary needs it, uint32."""
+        young, old, encode, code = self.young, self.old, self.encode, self.code
+        found = [young.get(p) for p in pieces]
+        for k, x in enumerate(found):
+            if x is None:
+                p = pieces[k]
+                x = old.get(p)
+                found[k] = young[p] = array(code, encode(p)).tobytes() if x is None else x
+        if len(young) > self.remember:
+            self.old, self.young = young, {}
         return found
 
     def encode_rows(self, buf: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after the other, and where each row starts, one more than rows."""
         starts, ends, first = space_chunks(buf, rows)
         code, pieces = distinct_pieces(buf, starts, ends)
-        found = [self.ids(p) for p in pieces]
+        found = self.many(pieces)
         size = np.array([len(x) for x in found], np.int64) // np.dtype(self.kind).itemsize
         flat = np.frombuffer(b"".join(found), self.kind)
         each = size[code]

@@ -50,86 +50,116 @@ def _places(left: np.ndarray, right: np.ndarray, at: np.ndarray, symbols: int) -
     return at, np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
 
 
-def _every_second(seq: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Places of pairs of equal symbols that overlap the one before, which is counted."""
-    equal = np.flatnonzero((seq[1:] == seq[:-1]) & ~last[:-1])
-    start = np.maximum.accumulate(np.where(np.append(True, np.diff(equal) > 1)[: len(equal)], equal, 0))
-    return equal[(equal - start) % 2 == 1]
+def _every_second(at: np.ndarray, after: np.ndarray, equal: np.ndarray) -> np.ndarray:
+    """Which of the places at (ascending; after: the places after them) hold a pair of equal symbols that overlaps the one
+    before, which is counted."""
+    out = np.zeros(len(at), bool)
+    k = np.flatnonzero(equal)
+    if len(k):
+        fresh = np.ones(len(k), bool)
+        fresh[1:] = (k[1:] != k[:-1] + 1) | (after[k[:-1]] != at[k[1:]])
+        start = np.maximum.accumulate(np.where(fresh, np.arange(len(k)), 0))
+        out[k[(np.arange(len(k)) - start) % 2 == 1]] = True
+    return out
 
 
-def compress(ids: np.ndarray, first: np.ndarray, terminals: int, shares: tuple[int, ...] = SHARES) -> dict[str, np.ndarray]:
-    """Grammar of ids, of which row i is ids[first[i]:first[i + 1]]: left and right of the rules, their expansion sizes,
-    the symbols that are left, where each row starts among them. No pair of neighbours in a row is left at two places
-    that do not overlap."""
-    seq = ids.astype(np.int32)
-    last = np.zeros(len(seq), bool)
-    last[first[1:][first[1:] > first[:-1]] - 1] = True
-    hot = np.ones(len(seq), bool)  # places whose pair may occur again; those once found to be alone stay alone
-    left, right, sizes, symbols = [], [], [np.ones(terminals, np.uint32)], terminals
-    levels = [max(2, len(seq) >> s) for s in shares] + [2]
-    while len(seq) > 1 and levels:
-        level = levels[0]
-        able = (hot & ~last)[:-1]
-        odd = _every_second(seq, last)
-        able[odd] = False
-        at = np.flatnonzero(able)
-        if level > 2:  # counts by hash come first: only places whose bucket is full enough are sorted
-            bucket = (seq[at].view(np.uint32) * np.uint32(0x9E3779B1) + seq[at + 1].view(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(12)
-            at = at[(np.bincount(bucket, minlength=1 << 20) >= level)[bucket]]
+class _Rules:
+    """Rules of the rounds so far."""
+
+    def __init__(self, terminals: int):
+        self.left, self.right, self.sizes, self.symbols, self.first = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], np.ones(terminals, np.uint32), terminals, terminals
+
+    def replace(self, seq: np.ndarray, at: np.ndarray, ranks: np.ndarray, before: np.ndarray | None, after: np.ndarray | None, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One round over the pairs at places at (ascending): (places that are replaced, their new symbols, other places of
+        the pairs that were frequent enough). before, after: the places next to each, if not its neighbours; ranks: scratch
+        by place (-1 and one more than there are included, from 1), full of the largest number."""
+        none = np.zeros(0, np.int64)
+        behind = (lambda x: x + 1) if after is None else after.__getitem__
         if not len(at):
-            levels.pop(0)
-            continue
-        at, run = _places(seq[at], seq[at + 1], at, symbols)
-        n = np.diff(np.append(run, len(at)))
+            return none, none, none
+        place, run = _places(seq[at], seq[behind(at)], at, self.symbols)
+        n = np.diff(np.append(run, len(place)))
         good = np.flatnonzero(n >= level)
         if not len(good):
-            levels.pop(0)
-            continue
+            return none, none, none
         # The better rank wins of two that overlap, the left one of equals; ranks follow the counts.
         rank = np.empty(len(good), np.int32)
         rank[np.argsort(-n[good], kind="stable")] = np.arange(len(good), dtype=np.int32)
         some = C.ragged(run[good], n[good])
-        place, own = at[some], np.repeat(rank, n[good])
-        never = np.iinfo(np.int32).max
-        ranks = np.full(len(seq) + 2, never, np.int32)
+        place, own = place[some], np.repeat(rank, n[good])
         ranks[place + 1] = own
-        wins = (own < ranks[place]) & (own <= ranks[place + 2])
+        wins = (own < ranks[place if before is None else before[place] + 1]) & (own <= ranks[behind(place) + 1])
+        ranks[place + 1] = np.iinfo(np.int32).max
         used = np.bincount(own[wins], minlength=len(good))
         wins &= used[own] >= 2  # what wins only once is no repetition now
-        used[used < 2] = 0
-        won, by = place[wins], own[wins]
-        if level == 2:
-            hot = np.zeros(len(seq), bool)
-            hot[place] = hot[odd] = True
-        if not len(won):
-            levels.pop(0)
-            continue
-        some = np.flatnonzero(used)
-        a, b = np.empty(len(good), np.int32), np.empty(len(good), np.int32)
-        a[rank], b[rank] = seq[at[run[good]]], seq[at[run[good]] + 1]
+        some = np.flatnonzero(used >= 2)
+        if not len(some):
+            return none, none, place
+        first, second = np.empty(len(good), np.int32), np.empty(len(good), np.int32)
+        heads = place[C.prefix(n[good])[:-1]]
+        first[rank], second[rank] = seq[heads], seq[behind(heads)]
         # Numbers of a round: by how many bits the uses have, then by the pair, so that differences are small.
-        order = some[np.lexsort((b[some], a[some], -np.frexp(used[some])[1]))]
+        order = some[np.lexsort((second[some], first[some], -np.frexp(used[some])[1]))]
         number = np.zeros(len(good), np.int32)
         number[order] = np.arange(len(order), dtype=np.int32)
-        left.append(a[order])
-        right.append(b[order])
-        known = np.concatenate(sizes) if len(sizes) > 1 else sizes[0]
-        sizes = [known, known[a[order]] + known[b[order]]]
-        seq[won] = symbols + number[by]
+        self.left.append(first[order])
+        self.right.append(second[order])
+        self.sizes = np.concatenate([self.sizes, self.sizes[first[order]] + self.sizes[second[order]]])
+        out = place[wins], self.symbols + number[own[wins]], place[~wins]
+        self.symbols += len(order)
+        return out
+
+
+def compress(ids: np.ndarray, first: np.ndarray, terminals: int, shares: tuple[int, ...] = SHARES) -> dict[str, np.ndarray]:
+    """Grammar of ids, of which row i is ids[first[i]:first[i + 1]]: left and right of the rules, their expansion sizes,
+    the symbols that are left, where each row starts among them. No pair of neighbours in a row is left at two places
+    that do not overlap."""
+    seq = ids.astype(np.int32)
+    last = np.zeros(len(seq), bool)
+    last[first[1:][first[1:] > first[:-1]] - 1] = True
+    rules, never = _Rules(terminals), np.iinfo(np.int32).max
+    ranks = np.full(len(seq) + 2, never, np.int32)
+    # Rounds over all places, after each of which the sequence is closed up.
+    for level in [max(2, len(seq) >> s) for s in shares] + [2]:
+        at = np.flatnonzero(~last[:-1]) if len(seq) > 1 else np.zeros(0, np.int64)
+        if level > 2:  # counts by hash come first: only places whose bucket is full enough are sorted
+            bucket = (seq[:-1].view(np.uint32) * np.uint32(0x9E3779B1) + seq[1:].view(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(12)
+            at = at[(np.bincount(bucket, minlength=1 << 20) >= level)[bucket[at]]]
+        at = at[~_every_second(at, at + 1, seq[at] == seq[at + 1])] if len(at) else at
+        won, symbol, lost = rules.replace(seq, at, ranks, None, None, level)
+        seq[won] = symbol
         last[won] = last[won + 1]
         keep = np.ones(len(seq), bool)
         keep[won + 1] = False
-        hot[won] = True
-        hot[np.maximum(won - 1, 0)] = True
-        seq, last, hot = seq[keep], last[keep], hot[keep]
-        symbols += len(order)
-        if level > 2:
-            levels.pop(0)
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int32)
+        if level == 2:
+            number = np.cumsum(keep) - 1
+            hot = np.concatenate([number[won], number[won] - 1, number[lost[keep[lost]]]])
+        seq, last = seq[keep], last[keep]
+    # Rounds over the places whose pair may have come to occur again: those next to new symbols and those that lost. The
+    # sequence stays as it is, with the places before and after each symbol.
+    n = len(seq)
+    if n > 1:
+        before, after, alive, mark = np.arange(-1, n - 1), np.arange(1, n + 1), np.ones(n, bool), np.zeros(n, bool)
+        mark[hot[hot >= 0]] = True
+        while len(hot := np.flatnonzero(mark & alive & ~last)):
+            mark[:] = False
+            odd = _every_second(hot, after[hot], seq[hot] == seq[after[hot]])
+            won, symbol, lost = rules.replace(seq, hot[~odd], ranks, before, after, 2)
+            if not len(won):
+                break
+            dead = after[won]
+            seq[won], last[won], alive[dead] = symbol, last[dead], False
+            after[won] = after[dead]
+            inner = after[won] < n
+            before[after[won][inner]] = won[inner]
+            left = before[won]
+            for some in (won, left[left >= 0], lost, hot[odd]):
+                mark[some] = True
+        seq, last = seq[alive], last[alive]
     stop = np.flatnonzero(last) + 1
     rows = np.zeros(len(first), np.int64)
     rows[1:] = np.append(0, stop)[np.cumsum(first[1:] > first[:-1])]
-    return {"left": join(left).astype(np.uint32), "right": join(right).astype(np.uint32), "size": np.concatenate(sizes)[terminals:].astype(np.uint32), "symbols": seq.astype(np.uint32), "rows": rows}
+    return {"left": np.concatenate(rules.left).astype(np.uint32), "right": np.concatenate(rules.right).astype(np.uint32), "size": rules.sizes[terminals:], "symbols": seq.astype(np.uint32), "rows": rows}
 
 
 def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, size: np.ndarray, terminals: int) -> np.ndarray:

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: lineage ends there. A folder of our own only where none is named."""
+    """df written to the shared folder and read back: lineage ends there. A folder of our own only where none is named
+    and all executors are in this process; elsewhere they would not share it."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tonearc-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -14,15 +14,22 @@ DEFAULT_WINDOW = {"C_NPMI": 10, "C_V": 110}
 
 def cooccurrence(tokens: DataFrame, window: int | None, left: DataFrame, right: DataFrame | None = None) -> DataFrame:
     """(w1, w2, p1, p2, p12): shares of windows that hold the words and both, for w1 of left and w2 of right (left if
-    None). Pairs that never meet are absent; a word meets itself wherever it stands."""
+    None). Pairs that never meet are absent; a word meets itself wherever it stands.
+
+    The windows of a document that hold a word are a few stretches of starts, so no window is ever a row: pairs of words
+    of a document meet in as many windows as their stretches share."""
     if isinstance(window, str) and window != "boolean":
         raise ValueError(window)
     window = None if window == "boolean" else window
-    one = corpus.window_words(tokens, window, left)
-    two = one if right is None else corpus.window_words(tokens, window, right)
+    one = corpus.window_stretches(tokens, window, left)
+    two = one if right is None else corpus.window_stretches(tokens, window, right)
     total = corpus.window_count(tokens, window)
-    single = lambda df, w, p: df.groupBy(F.col("word").alias(w)).agg(F.count(F.lit(1)).alias(p))
-    both = one.withColumnRenamed("word", "w1").join(two.withColumnRenamed("word", "w2"), ["doc_id", "start"]).groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n12"))
+    size = lambda s: F.aggregate(s, F.lit(0), lambda a, x: a + x.z - x.a + 1)
+    single = lambda df, w, p: df.groupBy(F.col("word").alias(w)).agg(F.sum(size("stretches")).alias(p))
+    meet = lambda x, y: F.greatest(F.lit(0), F.least(x.z, y.z) - F.greatest(x.a, y.a) + 1)
+    shared = F.aggregate("s1", F.lit(0), lambda a, x: a + F.aggregate("s2", F.lit(0), lambda b, y: b + meet(x, y)))
+    pairs = one.select("doc_id", F.col("word").alias("w1"), F.col("stretches").alias("s1")).join(two.select("doc_id", F.col("word").alias("w2"), F.col("stretches").alias("s2")), "doc_id")
+    both = pairs.withColumn("n", shared).where("n > 0").groupBy("w1", "w2").agg(F.sum("n").alias("n12"))
     out = both.join(single(one, "w1", "n1"), "w1").join(single(two, "w2", "n2"), "w2").join(F.broadcast(total))  # total: one row
     share = lambda c: (F.col(c) / F.col("n_windows"))
     return out.select("w1", "w2", share("n1").alias("p1"), share("n2").alias("p2"), share("n12").alias("p12"))

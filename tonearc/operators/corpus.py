@@ -106,3 +106,18 @@ def window_words(tokens: DataFrame, window: int | None, words: DataFrame | None
     longest = own.join(_lengths(tokens), "doc_id")
     first, last = F.greatest(F.lit(0), F.col("pos") - window + 1), F.greatest(F.lit(0), F.least(F.col("pos"), F.col("length") - window))
     return longest.select("doc_id", F.explode(F.sequence(F.least(first, last), last)).alias("start"), "word").distinct()
+
+
+def window_stretches(tokens: DataFrame, window: int | None, words: DataFrame | None = None) -> DataFrame:
+    """(doc_id, word, stretches): the windows that hold a word, as stretches from a to z of starts that do not touch."""
+    own = tokens.where(F.col("word").isNotNull())
+    if words is not None:
+        own = own.join(words.select("word").distinct(), "word", "left_semi")
+    if window is None:
+        return own.select("doc_id", "word").distinct().withColumn("stretches", F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("z"))))
+    places = own.groupBy("doc_id", "word").agg(F.array_sort(F.collect_list(F.col("pos").cast("int"))).alias("p")).join(_lengths(tokens), "doc_id")
+    heads = F.filter("p", lambda x, i: (i == 0) | (x - F.element_at("p", F.greatest(i, F.lit(1))) > window))
+    tails = F.filter("p", lambda x, i: (i == F.size("p") - 1) | (F.element_at("p", F.least(i + 2, F.size("p"))) - x > window))
+    last = F.greatest(F.lit(0), F.col("length") - window)
+    cut = lambda s: F.struct(F.least(last, F.greatest(F.lit(0), s.h - window + 1)).cast("int").alias("a"), F.least(s.t, last).cast("int").alias("z"))
+    return places.withColumn("h", heads).withColumn("t", tails).select("doc_id", "word", F.transform(F.arrays_zip("h", "t"), cut).alias("stretches"))

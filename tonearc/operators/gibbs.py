@@ -11,6 +11,7 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,20 +40,29 @@ def start(m: TopicModel) -> TopicModel:
 
 
 def _pack(m: TopicModel) -> tuple[DataFrame, list[str], np.ndarray]:
-    """Documents as arrays (doc_id, words, n, z: counts by word and leaf), the vocabulary, and beta by leaf and word."""
+    """Documents as arrays (doc_id, key: a number for it, and w, z, n: counts by word and leaf), the vocabulary, and beta
+    by leaf and word."""
     vocab = m.vocab.select("word", "lex").orderBy("word").toPandas()
     if len(vocab) * m.Z > TABLE_CELLS:
         raise ValueError(f"{len(vocab)} words and {m.Z} leaves exceed the table of {TABLE_CELLS} cells: trim the vocabulary")
     level = vocab["lex"].map({s: i for i, s in enumerate(m.sentiment_labels)})
     z = np.arange(m.Z)
     leaf_level = z // m.L2 if m.kind == "jst" else z % m.L2
-    beta = np.repeat(np.array(m.beta_z)[:, None], len(vocab), axis=1)
-    if m.kind != "lda":
-        beta[(leaf_level[:, None] != level.to_numpy()[None, :]) & level.notna().to_numpy()[None, :]] = 0
+    beta = _beta(m, level.to_numpy(), leaf_level)
     ids = m.docs.sparkSession.createDataFrame(pd.DataFrame({"word": vocab["word"], "w": np.arange(len(vocab), dtype=np.int32)}))
     cells = m.tokens.where(F.col("word").isNotNull()).join(ids, "word").groupBy("doc_id", "w", "z").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    docs = cells.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("w", "z", "n"))).alias("cells"))
-    return saved(docs, "gibbs-documents"), vocab["word"].tolist(), beta
+    docs = cells.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("w", "z", "n"))).alias("c"))
+    flat = docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("key"), *[F.transform("c", lambda x, k=k: x[k]).alias(k) for k in ("w", "z", "n")])
+    return saved(flat, "gibbs-documents"), vocab["word"].tolist(), beta
+
+
+def _beta(m: TopicModel, level: np.ndarray, leaf_level: np.ndarray) -> np.ndarray:
+    """Beta by leaf and word; 0 where the lexicon keeps a word (of a level, or nan) out."""
+    beta = np.repeat(np.array(m.beta_z)[:, None], len(level), axis=1)
+    if m.kind != "lda":
+        known = ~pd.isna(level)
+        beta[(leaf_level[:, None] != np.where(known, level, -1)[None, :]) & known[None, :]] = 0
+    return beta
 
 
 def _draw(rng: np.random.Generator, w: np.ndarray, n: np.ndarray, nz: np.ndarray, phi: np.ndarray, m: dict) -> np.ndarray:
@@ -117,7 +127,7 @@ def fit(m: TopicModel, iterations: int = 100, chain: int = 1, likelihood: bool =
     seed, Z = m.seed, m.Z
 
     def table(df: DataFrame) -> np.ndarray:
-        rows = df.select(F.explode("cells").alias("c")).groupBy("c.w", "c.z").agg(F.sum("c.n").alias("n")).toPandas()
+        rows = df.select(F.explode(F.arrays_zip("w", "z", "n")).alias("c")).groupBy("c.w", "c.z").agg(F.sum("c.n").alias("n")).toPandas()
         out = np.zeros((m.Z, V))
         out[rows["z"].to_numpy(int), rows["w"].to_numpy(int)] = rows["n"]
         return out
@@ -127,7 +137,7 @@ def fit(m: TopicModel, iterations: int = 100, chain: int = 1, likelihood: bool =
         what is collected grows with the longest document, not with their number."""
 
         def of(z: int):
-            return F.aggregate("cells", F.lit(0), lambda a, c: a + F.when(c.z == z, c.n).otherwise(0))
+            return F.aggregate(F.arrays_zip("z", "n"), F.lit(0), lambda a, c: a + F.when(c.z == z, c.n).otherwise(0))
 
         n = [F.col(f"z{z}") for z in range(m.Z)]
         first = [sum(n[i * m.L2 + 1 : (i + 1) * m.L2], n[i * m.L2]) for i in range(m.L1)]
@@ -139,7 +149,7 @@ def fit(m: TopicModel, iterations: int = 100, chain: int = 1, likelihood: bool =
             out[kind] = [(x["n"].to_numpy(float), x["count"].to_numpy(float)) for x in own]
         return out
 
-    counts = table(docs)
+    counts, cached = table(docs), []
     for sweep in range(m.it + 1, m.it + iterations + 1):
         rng = np.random.default_rng([m.seed, chain, sweep])
         g = np.where(beta > 0, rng.gamma(counts + np.where(beta > 0, beta, 1)) + 1e-300, 0)
@@ -147,20 +157,32 @@ def fit(m: TopicModel, iterations: int = 100, chain: int = 1, likelihood: bool =
 
         def sample(batches, sweep=sweep, shared=shared):
             phi, params = shared.value
-            for pdf in batches:
-                out = []
-                for doc, cells in zip(pdf["doc_id"], pdf["cells"]):
-                    a = np.array([(c["w"], c["z"], c["n"]) for c in cells], np.int64)
-                    w, at = np.unique(a[:, 0], return_inverse=True)
-                    nz = np.bincount(a[:, 1], weights=a[:, 2], minlength=Z)
-                    own = np.random.default_rng([seed, chain, sweep, int(doc) & 0xFFFFFFFF])
-                    new = _draw(own, w, np.bincount(at, weights=a[:, 2]).astype(int), nz, phi, params)
-                    i, z = np.nonzero(new)
-                    out.append([{"w": int(w[x]), "z": int(y), "n": int(new[x, y])} for x, y in zip(i, z)])
-                yield pd.DataFrame({"doc_id": pdf["doc_id"], "cells": out})
-
-        docs = docs.mapInPandas(sample, docs.schema)
-        docs = saved(docs, "gibbs-documents") if (sweep % every == 0 or sweep == m.it + iterations) else docs.cache()
+            for b in batches:
+                first = b.column("w").offsets.to_numpy() - b.column("w").offsets[0].as_py()
+                w, z, n = (b.column(k).flatten().to_numpy() for k in ("w", "z", "n"))
+                keys, out = b.column("key").to_numpy(), [[np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]]
+                sizes = np.zeros(b.num_rows + 1, np.int32)
+                for k, (i, j) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+                    own, at = np.unique(w[i:j], return_inverse=True)
+                    nz = np.bincount(z[i:j], weights=n[i:j], minlength=Z)
+                    key = int(keys[k]) & 0xFFFFFFFFFFFFFFFF
+                    rng = np.random.default_rng([seed, chain, sweep, key & 0xFFFFFFFF, key >> 32])
+                    new = _draw(rng, own, np.bincount(at, weights=n[i:j]).astype(int), nz, phi, params)
+                    x, y = np.nonzero(new)
+                    for o, v in zip(out, (own[x], y, new[x, y])):
+                        o.append(v.astype(np.int32))
+                    sizes[k + 1] = len(x)
+                at = pa.array(np.cumsum(sizes, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), *(pa.ListArray.from_arrays(at, pa.array(np.concatenate(o))) for o in out)], ["doc_id", "key", "w", "z", "n"])
+
+        docs = docs.mapInArrow(sample, docs.schema)
+        if sweep % every == 0 or sweep == m.it + iterations:
+            docs = saved(docs, "gibbs-documents")
+            for old in cached:
+                old.unpersist()
+            cached.clear()
+        else:
+            cached.append(docs := docs.cache())
         counts = table(docs)
         update = [c and sweep % c == 0 for c in (alpha_cycle, gamma_cycle)]
         if likelihood or any(update):
@@ -175,7 +197,7 @@ def fit(m: TopicModel, iterations: int = 100, chain: int = 1, likelihood: bool =
                 logs.append((_log_w(counts, beta), _log_layer(h["l1"], h["all"][0], l1), second))
     words = m.vocab.select("word").orderBy("word").toPandas().assign(w=lambda d: np.arange(len(d), dtype=np.int32))
     names = spark.createDataFrame(words)
-    ranked = docs.select("doc_id", F.explode("cells").alias("c")).select("doc_id", "c.*").join(names, "w")
+    ranked = docs.select("doc_id", F.explode(F.arrays_zip("w", "z", "n")).alias("c")).select("doc_id", "c.*").join(names, "w")
     leaf = ranked.groupBy("doc_id", "word").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("z", "n"))), lambda s: F.array_repeat(s.z, s.n))).alias("zs"))
     place = m.tokens.drop("z").withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "word").orderBy("pos")))
     tokens = place.join(leaf, ["doc_id", "word"], "left").select("doc_id", "pos", "word", F.when(F.col("word").isNotNull(), F.element_at("zs", F.col("k"))).alias("z"))
@@ -184,7 +206,8 @@ def fit(m: TopicModel, iterations: int = 100, chain: int = 1, likelihood: bool =
 
 
 def fit_chains(m: TopicModel, n_chains: int, iterations: int = 100, **more) -> list[TopicModel]:
-    """Chain 1 goes on from m; the others start anew, unless m has been fitted."""
+    """Chain 1 goes on from m; the others start anew, unless m has been fitted. Sweeps of one chain run on the whole
+    cluster, so chains follow each other; collapsed.fit_chains() runs small ones side by side."""
     out = []
     for c in range(1, n_chains + 1):
         own = replace(m, seed=m.seed + 7919 * (c - 1))
@@ -192,6 +215,32 @@ def fit_chains(m: TopicModel, n_chains: int, iterations: int = 100, **more) -> l
     return out
 
 
+def continue_chains(chains: list[TopicModel], iterations: int = 100, **more) -> list[TopicModel]:
+    """More sweeps of each chain."""
+    return [fit(c, iterations, chain=i, **more) for i, c in enumerate(chains, 1)]
+
+
+def grow(m: TopicModel, iterations: int = 100, **more) -> TopicModel:
+    """fit() by another name."""
+    return fit(m, iterations, **more)
+
+
+def recompile(m: TopicModel, lexicon: dict[str, list[str]] | DataFrame) -> TopicModel:
+    """m under another lexicon (patterns, or a table of word and lex): words are matched anew, and every token starts in a
+    leaf that its word may be in."""
+    from tonearc.operators.lexicon import match
+
+    if m.kind == "lda":
+        raise ValueError("an LDA has no lexicon")
+    if isinstance(lexicon, dict):
+        vocab = match(m.vocab.select("word"), lexicon, [s for s in m.sentiment_labels if s in lexicon])
+    else:
+        vocab = m.vocab.select("word").join(lexicon.select("word", "lex"), "word", "left")
+        if vocab.where(~F.col("lex").isin(*m.sentiment_labels)).limit(1).count():
+            raise ValueError("a sentiment that the model does not have")
+    return reset(replace(m, vocab=vocab))
+
+
 def reset(m: TopicModel) -> TopicModel:
     """m before its first sweep, under a new seed."""
     return start(replace(m, seed=m.seed * (m.it + 1) + 1, docs=m.docs.drop("sentiment") if m.internal_sentiment else m.docs))

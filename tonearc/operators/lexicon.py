@@ -32,34 +32,50 @@ def match(vocab: DataFrame, lexicon: dict[str, list[str]], use: list[str]) -> Da
     return vocab.withColumn("_hits", hits).withColumn("lex", F.when(F.size("_hits") == 1, F.element_at("_hits", 1))).drop("_hits")
 
 
+def _in_turn(starts: DataFrame) -> DataFrame:
+    """Of starts (doc_id, pos, span) those that a reader from left to right takes: one inside a taken one is no start.
+    Only runs of starts that reach into each other are read in turn; they are a few words long."""
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    reach = F.max(F.col("pos") + F.col("span")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = starts.withColumn("_new", F.coalesce((F.col("pos") >= reach).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(order))
+    some = runs.groupBy("doc_id", "_run").agg(F.array_sort(F.collect_list(F.struct("pos", "span"))).alias("s"))
+    first = F.struct(F.lit(-1).cast("int").alias("end"), F.array().cast("array<struct<pos:int,span:int>>").alias("taken"))
+    step = lambda a, s: F.when(s.pos >= a.end, F.struct((s.pos + s.span).cast("int").alias("end"), F.array_append(a.taken, F.struct(s.pos.cast("int").alias("pos"), s.span.cast("int").alias("span"))).alias("taken"))).otherwise(a)
+    return some.select("doc_id", F.explode(F.aggregate("s", first, step).taken).alias("t")).select("doc_id", "t.pos", "t.span")
+
+
 def compound(tokens: DataFrame, lexicon: dict[str, list[str]], use: list[str]) -> DataFrame:
     """(doc_id, pos, word, lex, compounded): negator [amplifier] polar-word become one token at the negator's place, of
-    opposite polarity; three words are tried before two. Only the last word's matched category counts."""
+    opposite polarity. All compounds of three words are made first, then those of two of what is left, both from left to
+    right: a word that is used up starts none. Only the last word's matched category counts."""
     order = Window.partitionBy("doc_id").orderBy("pos")
     kinds = match(tokens.select("word").where(F.col("word").isNotNull()).distinct(), lexicon, use)
     shifters = lambda c: F.lower("word").rlike("|".join(glob_regex(p) for p in lexicon.get(c) or ["\\u0000"]))
     kinds = kinds.withColumn("neg", shifters("valence_negator")).withColumn("amp", shifters("valence_amplifier"))
     t = tokens.join(kinds, "word", "left")
     polar = lambda n: F.lead("lex", n).over(order).isin("negative", "positive")
-    three = F.coalesce(F.col("neg") & F.lead("amp", 1).over(order) & polar(2), F.lit(False))
-    t = t.withColumn("three", three).withColumn("two", F.coalesce(F.col("neg") & polar(1), F.lit(False)) & ~F.col("three"))
-    t = t.withColumn("span", F.when(F.col("three"), 3).when(F.col("two"), 2).otherwise(1))
-    last = lambda c: F.when(F.col("span") == 3, F.lead(c, 2).over(order)).when(F.col("span") == 2, F.lead(c, 1).over(order)).otherwise(F.col(c))
-    t = t.withColumn("tail", last("word")).withColumn("tail_lex", last("lex"))
-    used = F.coalesce(F.lag("span", 1).over(order) > 1, F.lit(False)) | F.coalesce(F.lag("span", 2).over(order) > 2, F.lit(False))
-    flipped = F.when(F.col("tail_lex") == "positive", "negative").when(F.col("tail_lex") == "negative", "positive").otherwise(F.col("tail_lex"))
-    out = t.withColumn("used", used).where(~F.col("used"))
-    many = F.col("span") > 1
-    return out.select("doc_id", "pos", F.when(many, F.concat(F.lit("#NEG#__"), F.col("tail"))).otherwise(F.col("word")).alias("word"), F.when(many, flipped).otherwise(F.col("lex")).alias("lex"), many.alias("compounded"))
+    t = t.withColumn("three", F.coalesce(F.col("neg") & F.lead("amp", 1).over(order) & polar(2), F.lit(False))).withColumn("two", F.coalesce(F.col("neg") & polar(1), F.lit(False)))
+    t = t.withColumn("w1", F.lead("word", 1).over(order)).withColumn("w2", F.lead("word", 2).over(order)).withColumn("x1", F.lead("lex", 1).over(order)).withColumn("x2", F.lead("lex", 2).over(order))
+    threes = _in_turn(t.where("three").select("doc_id", "pos", F.lit(3).alias("span"))).withColumn("span", F.lit(3))
+    taken = threes.select("doc_id", F.explode(F.sequence("pos", F.col("pos") + 2)).alias("pos"))
+    free = t.where("two").select("doc_id", "pos", F.lit(2).alias("span")).join(taken, ["doc_id", "pos"], "left_anti")
+    free = free.join(taken.select("doc_id", (F.col("pos") - 1).alias("pos")), ["doc_id", "pos"], "left_anti")
+    heads = threes.unionByName(_in_turn(free).withColumn("span", F.lit(2)))
+    inside = heads.select("doc_id", F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + F.col("span") - 1)).alias("pos")).withColumn("used", F.lit(True))
+    t = t.join(heads, ["doc_id", "pos"], "left").join(inside, ["doc_id", "pos"], "left").where(F.col("used").isNull())
+    last = lambda two, three: F.when(F.col("span") == 3, F.col(three)).otherwise(F.col(two))
+    many, tail = F.col("span").isNotNull(), last("x1", "x2")
+    flipped = F.when(tail == "positive", "negative").otherwise("positive")
+    return t.select("doc_id", "pos", F.when(many, F.concat(F.lit("#NEG#__"), last("w1", "w2"))).otherwise(F.col("word")).alias("word"), F.when(many, flipped).otherwise(F.col("lex")).alias("lex"), many.alias("compounded"))
 
 
 def ngram_scores(docs: DataFrame, lexicon: DataFrame, min_ngram: int = 2, parent_col: str = "doc_id", per_word: bool = False, stemmed: bool = True) -> DataFrame:
     """Monetary-policy and economic-condition scores of each segment (doc_id): sums of (rest - acco) and (posi - nega)
     over matched phrases, divided by the mean, over the segments of the same parent, of the sums of all class weights,
-    kept away from 0. lexicon: keyword, ngram, mp_acco, mp_neut, mp_rest, ec_nega, ec_neut, ec_posi.
+    kept away from 0. lexicon: keyword, ngram, mp_acco, mp_neut, mp_rest, ec_nega, ec_neut, ec_posi; with stemmed, its
+    keywords are stems, as the texts' words become. per_word: a row per segment and phrase.
 
-    The longest phrase that starts at a word wins, and its words are used up from left to right as far as single
-    starts go: a word inside a longer phrase starts no other."""
+    Texts are read from left to right; at each word the longest phrase is taken, and its words start no other."""
     tokens = tokenise(docs)
     if stemmed:
         tokens = tokens.withColumn("word", stem("word"))
@@ -69,10 +85,8 @@ def ngram_scores(docs: DataFrame, lexicon: DataFrame, min_ngram: int = 2, parent
     ahead = [F.col("word"), *[F.lead("word", k).over(order) for k in range(1, longest)]]
     grams = tokens.select("doc_id", "pos", *[F.concat_ws(" ", *ahead[:n]).alias(f"g{n}") for n in range(min_ngram, longest + 1)], *[ahead[n - 1].isNotNull().alias(f"k{n}") for n in range(min_ngram, longest + 1)])
     long = grams.select("doc_id", "pos", F.explode(F.array(*[F.struct(F.lit(n).alias("ngram"), F.col(f"g{n}").alias("keyword"), F.col(f"k{n}").alias("whole")) for n in range(min_ngram, longest + 1)])).alias("g")).select("doc_id", "pos", "g.*").where("whole")
-    hits = long.join(own, ["keyword", "ngram"])
-    start = Window.partitionBy("doc_id", "pos").orderBy(F.desc("ngram"))
-    hits = hits.withColumn("r", F.row_number().over(start)).where("r = 1")
-    hits = hits.withColumn("busy", F.max(F.col("pos") + F.col("ngram")).over(order.rowsBetween(Window.unboundedPreceding, -1))).where(F.coalesce(F.col("busy") <= F.col("pos"), F.lit(True)))
+    best = long.join(own, ["keyword", "ngram"]).groupBy("doc_id", "pos").agg(F.max_by(F.struct(*own.columns), "ngram").alias("hit"), F.max("ngram").alias("span"))
+    hits = best.join(_in_turn(best.select("doc_id", "pos", "span")).select("doc_id", "pos"), ["doc_id", "pos"]).select("doc_id", "pos", "hit.*")
     mp, ec = F.col("mp_acco") + F.col("mp_neut") + F.col("mp_rest"), F.col("ec_nega") + F.col("ec_neut") + F.col("ec_posi")
     per = hits.groupBy("doc_id", *(["keyword"] if per_word else [])).agg(F.sum(F.col("mp_rest") - F.col("mp_acco")).alias("mp"), F.sum(F.col("ec_posi") - F.col("ec_nega")).alias("ec"), F.sum(mp).alias("mp_all"), F.sum(ec).alias("ec_all"))
     totals = per.groupBy("doc_id").agg(F.sum("mp_all").alias("mp_all"), F.sum("ec_all").alias("ec_all"))

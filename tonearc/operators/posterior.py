@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonearc.functions.shared import saved
+from tonearc.functions.special import lgamma
 from tonearc.model import TopicModel
 
 
@@ -80,6 +82,38 @@ def phi(m: TopicModel) -> DataFrame:
     return cells.join(F.broadcast(totals), "z").select("word", "z", m.l1().alias("l1"), m.l2().alias("l2"), "n", ((F.col("n") + F.col("beta")) / (F.col("n_z") + F.col("beta_z"))).alias("p"))
 
 
+# ---- likelihood ------------------------------------------------------------------------------------------------------
+
+
+def loglik_words(m: TopicModel, eps: float = 1e-9) -> DataFrame:
+    """(z, value): log-likelihood of each leaf's words under its betas, kept away from 0 by eps."""
+    cells = word_counts(m).withColumn("x", lgamma(F.col("n") + F.col("beta") + eps) - lgamma(F.col("beta") + F.lit(eps)))
+    per = cells.groupBy("z").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("beta").alias("b"))
+    return per.select("z", (F.col("x") + lgamma("b") - lgamma(F.col("n") + F.col("b"))).alias("value"))
+
+
+def loglik_l1(m: TopicModel, multinomial: bool = False) -> DataFrame:
+    """(doc_id, value): log-likelihood of each document's first layer under its prior; multinomial: with the coefficient
+    of the counts, so that it is the probability of the counts instead of that of one order."""
+    return _loglik_layer(doc_l1(m), ["doc_id"], "l1", m.l1_prior, None, multinomial)
+
+
+def loglik_l2(m: TopicModel, multinomial: bool = False) -> DataFrame:
+    """(doc_id, l1, value): the same of the second layer in each part of the first; 0 where there is one l2."""
+    x = doc_l2(m).withColumn("z", F.col("l1") * m.L2 + F.col("l2"))
+    sums = [sum(m.l2_prior[i * m.L2 : (i + 1) * m.L2]) for i in range(m.L1)]
+    return _loglik_layer(x, ["doc_id", "l1"], "z", m.l2_prior, sums, multinomial)
+
+
+def _loglik_layer(x: DataFrame, keys: list[str], part: str, prior, sums, multinomial: bool) -> DataFrame:
+    own = F.element_at(_doubles(prior), F.col(part) + 1)
+    order = lgamma(F.col("n") + F.lit(1.0)) if multinomial else F.lit(0.0)
+    per = x.withColumn("_g", lgamma(F.col("n") + own) - lgamma(own) - order).groupBy(*keys).agg(F.sum("_g").alias("_g"), F.sum("n").alias("_n"))
+    whole = F.lit(float(sum(prior))) if sums is None else F.element_at(_doubles(sums), F.col("l1") + 1)
+    coefficient = lgamma(F.col("_n") + F.lit(1.0)) if multinomial else F.lit(0.0)
+    return per.select(*keys, (F.col("_g") + lgamma(whole) - lgamma(F.col("_n") + whole) + coefficient).alias("value"))
+
+
 # ---- inversion -------------------------------------------------------------------------------------------------------
 
 
@@ -88,6 +122,15 @@ def l1_counts(mixtures: DataFrame, lengths: DataFrame, prior) -> DataFrame:
     return mixtures.join(lengths, "doc_id").select("doc_id", "l1", (F.col("p") * (F.col("length") + float(sum(prior))) - F.element_at(_doubles(prior), F.col("l1") + 1)).alias("n"))
 
 
+def l2_counts(mixtures: DataFrame, n1: DataFrame, prior, L1: int) -> DataFrame:
+    """(doc_id, l1, l2, n): counts from mixtures (doc_id, l1, l2, p) and those of the first layer (doc_id, l1, n); prior:
+    of all leaves."""
+    width = len(prior) // L1
+    own = F.element_at(_doubles(prior), F.col("l1") * width + F.col("l2") + 1)
+    sums = [sum(prior[i : i + width]) for i in range(0, len(prior), width)]
+    return mixtures.join(n1.withColumnRenamed("n", "_n1"), ["doc_id", "l1"]).select("doc_id", "l1", "l2", (F.col("p") * (F.col("_n1") + F.element_at(_doubles(sums), F.col("l1") + 1)) - own).alias("n"))
+
+
 def word_counts_from_phi(phi_table: DataFrame, totals: DataFrame) -> DataFrame:
     """(word, z, n) from phi (word, z, p, beta) and totals (z, n_z)."""
     beta = phi_table.groupBy("z").agg(F.sum("beta").alias("beta_z"))
@@ -114,9 +157,47 @@ def repair(counts: DataFrame, key: str, item: str, totals: DataFrame) -> DataFra
     return counts.join(totals, key).groupBy(key).applyInPandas(fix, f"{key} {kinds[key]}, {item} {kinds[item]}, n long")
 
 
-def integrity(m: TopicModel) -> DataFrame:
-    """One row of flags: za (assignments in range), toks (all words known), lex (lexicon kept), l1, l2, phi (sums of 1)."""
+def repair_margins(counts: DataFrame, key: str, item: str, totals: DataFrame, item_totals: dict[int, int]) -> DataFrame:
+    """Fractional counts (key, item, n) made integers that sum to total (key, total) within each key and to item_totals
+    within each item, which must agree in all. Rows are rounded first; then units move from items that have too many to
+    items that have too few, where the fractions are hurt least. Items are few (topics): one pass for each pair of them."""
+    exact = counts.select(key, item, F.col("n").alias("_x"))
+    now = repair(counts, key, item, totals).join(exact, [key, item])
+    have = {r[item]: int(r["n"]) for r in now.groupBy(item).agg(F.sum("n").alias("n")).collect()}
+    over = {i: n - item_totals.get(i, 0) for i, n in have.items()}
+    if sum(over.values()):
+        raise ValueError("the margins do not agree")
+    while any(over.values()):
+        source, target = max(over, key=over.get), min(over, key=over.get)
+        units = min(over[source], -over[target])
+        both = now.where(F.col(item).isin(source, target)).groupBy(key).agg(*[F.max(F.when(F.col(item) == i, F.col(c))).alias(f"{c}{k}") for k, i in ((0, source), (1, target)) for c in ("n", "_x")])
+        hurt = (F.col("_x0") - F.col("n0")) - (F.col("_x1") - F.col("n1"))
+        moved = both.where("n0 > 0").orderBy(hurt, key).limit(units).select(key, F.lit(True).alias("_moved"))
+        done = moved.count()
+        if not done:
+            raise ValueError("no counts are left to move")
+        change = F.when(F.col(item) == source, -1).when(F.col(item) == target, 1).otherwise(0)
+        now = saved(now.join(moved, key, "left").withColumn("n", F.col("n") + F.when(F.col("_moved"), change).otherwise(0)).drop("_moved"), "repaired")
+        over[source] -= done
+        over[target] += done
+    return now.select(key, item, "n")
+
+
+def integrity(m: TopicModel, detailed: bool = False) -> DataFrame:
+    """One row of flags: za (assignments in range), toks (all words known), lex (lexicon kept), l1, l2, phi (sums of 1);
+    detailed: how many tokens (za, toks, lex), documents, parts of documents and leaves are at fault instead."""
     own = m.tokens.where(F.col("word").isNotNull())
+    if detailed:
+        odd = lambda c: F.count_if(F.coalesce(F.abs(F.col(c) - 1) >= 1.5e-8, F.lit(True)))
+        joined = own.join(m.vocab.select("word", "lex", F.lit(True).alias("_known")), "word", "left")
+        inside = (F.col("z") >= 0) & (F.col("z") < m.Z)
+        counts = [joined.agg(F.count_if(F.coalesce(~inside, F.lit(True))).alias("za"), F.count_if(F.col("_known").isNull()).alias("toks"), F.count_if(F.coalesce(inside & F.col("_known") & ~m.allowed(), F.lit(False))).alias("lex"))]
+        for x, keys, name in ((doc_l1(m), ["doc_id"], "l1"), (doc_l2(m), ["doc_id", "l1"], "l2"), (phi(m), ["z"], "phi")):
+            counts.append(x.groupBy(*keys).agg(F.sum("p").alias("s")).agg(odd("s").alias(name)))
+        out = counts[0]
+        for one in counts[1:]:  # rows of one
+            out = out.join(F.broadcast(one))
+        return out
     near = lambda c: F.abs(F.col(c) - 1) < 1.5e-8
     za = own.agg(F.coalesce(F.every((F.col("z") >= 0) & (F.col("z") < m.Z)), F.lit(True)).alias("za"))
     toks = own.join(m.vocab.select("word"), "word", "left_anti").agg((F.count(F.lit(1)) == 0).alias("toks"))

@@ -34,9 +34,11 @@ def topic_sentiment(m: TopicModel, method: str = "proportional", conditional: bo
     return x.select("doc_id", "topic", _polarity(F.col("pos"), F.col("neg"), method).alias("s"), "theta")
 
 
-def document_sentiment(m: TopicModel, method: str = "proportional", override: bool = False, conditional: bool = False) -> DataFrame:
+def document_sentiment(m: TopicModel, method: str = "proportional", override: bool = False, conditional: bool = False, include_docs: bool = False) -> DataFrame:
     """(doc_id, sentiment): what the model stores, unless override; else from a JST's sentiment shares, or from an rJST's
-    topics, weighted by their shares."""
+    topics, weighted by their shares. include_docs: with the documents' other columns."""
+    if include_docs:
+        return document_sentiment(m, method, override, conditional).join(m.docs.drop("sentiment", "sentiment_scaled"), "doc_id")
     if "sentiment" in m.docs.columns and not override:
         return m.docs.select("doc_id", "sentiment")
     positive, negative = _check(m, method)

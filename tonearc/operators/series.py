@@ -6,6 +6,7 @@ had data stay. Means and standard deviations that scale a series also scale the
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +18,16 @@ from tonearc.operators.sentiment import document_sentiment, topic_sentiment
 from tonearc.operators.summary import _label
 
 PERIODS = {"day": "interval 1 day", "month": "interval 1 month", "quarter": "interval 3 months", "year": "interval 1 year"}
-ROLLING = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "median": F.median, "sd": F.stddev_samp}
+ROLLING = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "sd": F.stddev_samp}
+
+
+def _rolled(fun: str, frame: Window) -> Column:
+    """A function of value over a frame; the median has no frames of its own: it is taken of the frame's few values."""
+    if fun != "median":
+        return ROLLING[fun](F.col("value")).over(frame)
+    own = F.array_sort(F.collect_list("value").over(frame))
+    n = F.size(own)
+    return F.when(n > 0, (F.element_at(own, F.floor((n + 1) / 2).cast("int")) + F.element_at(own, F.floor(n / 2).cast("int") + 1)) / 2)
 
 
 def floor_date(date: Column, period: str) -> Column:
@@ -43,7 +53,7 @@ def roll(series: DataFrame, period: str, window: int, by: list[str] | None = Non
         before = window // 2 - 1
     order = Window.partitionBy(*by).orderBy("date") if by else Window.orderBy("date")
     frame = order.rowsBetween(-before, window - 1 - before)
-    rolled = F.when(F.count(F.lit(1)).over(frame) == window, ROLLING[fun](F.col("value")).over(frame))
+    rolled = F.when(F.count(F.lit(1)).over(frame) == window, _rolled(fun, frame))
     return filled.withColumn("_rolled", rolled).where(F.col("value").isNotNull()).withColumn("value", F.col("_rolled")).drop("_rolled")
 
 
@@ -80,12 +90,20 @@ def scaled_sentiment(m: TopicModel, period: str = "year", rolling: int = 1, scal
     return document_sentiment(m).withColumn("sentiment", (F.col("sentiment") - mean) / sd)
 
 
+def scaled_topic_sentiment(m: TopicModel, period: str = "year", rolling: int = 1, scaling_period: tuple[str, str] | None = None, method: str = "proportional") -> DataFrame:
+    """(doc_id, topic, s): topics' own sentiment in each document, by the mean and deviation of the series."""
+    mean, sd = scaling(sentiment_series(m, period, rolling, scale=False), *(scaling_period or ()))
+    return topic_sentiment(m, method).select("doc_id", "topic", ((F.col("s") - mean) / sd).alias("s"))
+
+
 def _parts(m: TopicModel, method: str = "proportional") -> DataFrame:
     """(doc_id, topic, theta, s): s is the topic's own for an rJST with sentiment of its own, else the document's."""
     if m.kind == "jst":
         raise ValueError("topics of a JST have no sentiment of their own")
     if m.kind == "rjst" and m.internal_sentiment:
         return topic_sentiment(m, method)
+    if m.kind == "rjst":
+        warnings.warn("the sentiment is from outside: every topic of a document has the document's", stacklevel=3)
     theta = P.doc_l1(m).select("doc_id", F.col("l1").alias("topic"), F.col("p").alias("theta"))
     return theta.join(document_sentiment(m).withColumnRenamed("sentiment", "s"), "doc_id")
 

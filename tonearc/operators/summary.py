@@ -105,22 +105,46 @@ def representative_docs(m: TopicModel, topic: int, sentiment: int | None = None,
     return best.join(text, "doc_id", "left")
 
 
-def sunburst(m: TopicModel, n: int = 5) -> DataFrame:
+def sentiment_shares(m: TopicModel) -> DataFrame:
+    """(doc_id, topic, date, share): what each topic holds of a document's stored sentiment."""
+    x = melt(m, include_docs=True)
+    return x.groupBy("doc_id", "topic", "date").agg((F.sum("prob") * F.first("sentiment")).alias("share"))
+
+
+def top_words_plot(m: TopicModel, n: int = 10, method: str = "probability") -> DataFrame:
+    """The n best words of every leaf for a chart with a facet each: facet, word, rank, value, item (a name that is the
+    word's in this facet alone) and place (order of items, by facet and value, smallest first)."""
+    best = _first_n(ranked_words(m, method), n).withColumn("facet", _label(m.leaf_labels(), "z"))
+    order = Window.orderBy("z", "value", F.desc("word"))  # n rows a leaf
+    return best.select("facet", "word", "rank", "value", F.concat_ws("___", "word", "facet").alias("item"), F.row_number().over(order).alias("place"))
+
+
+def sunburst(m: TopicModel, n: int = 5, layers: int = 3, sort: bool = False, colors: bool = False) -> DataFrame:
     """(id, parent, label, level, value, real): mean share of l1, of l2 in it, and the top words of the leaf, rescaled to
-    90 % of their parent; real: the share itself (of l1, of l2 given l1, or the word's probability)."""
+    90 % of their parent; real: the share itself (of l1, of l2 given l1, or the word's probability). layers: the levels
+    from the middle; sort adds place, by level and size; colors adds color, of the sentiment or else of the l1."""
     x = P.doc_mixtures(m).withColumn("a", _label(m.l1_labels, "l1")).withColumn("b", _label(m.l2_labels, "l2"))
     first = x.groupBy("a").agg((F.sum(F.when(F.col("l2") == 0, F.col("l1_p"))) / F.count_if(F.col("l2") == 0)).alias("value"))
-    one = first.select(F.col("a").alias("id"), F.lit("").alias("parent"), F.col("a").alias("label"), F.lit(1).alias("level"), "value", F.col("value").alias("real"))
+    none = F.lit(None).cast("string")
+    out = first.select(F.col("a").alias("id"), F.lit("").alias("parent"), F.col("a").alias("label"), F.lit(1).alias("level"), "value", F.col("value").alias("real"), F.col("a").alias("a"), none.alias("b"))
     leaves = x.groupBy("a", "b").agg(F.avg("p").alias("value"))
-    words = _first_n(P.phi(m).select("word", "z", F.col("p").alias("value")), n).withColumn("l1", m.l1("z")).withColumn("l2", m.l2("z")).withColumn("a", _label(m.l1_labels, "l1")).withColumn("b", _label(m.l2_labels, "l2"))
-    words = words.join(F.broadcast(leaves.select("a", "b", F.col("value").alias("leaf"))), ["a", "b"])
-    share = F.col("value") / F.sum("value").over(Window.partitionBy("a", "b"))
-    parent = F.col("a") if m.L2 == 1 else F.concat_ws("/", "a", "b")
-    three = words.select(F.concat_ws("/", parent, "word").alias("id"), parent.alias("parent"), F.col("word").alias("label"), F.lit(3).alias("level"), (share * 0.9 * F.col("leaf")).alias("value"), F.col("value").alias("real"))
-    if m.L2 == 1:
-        return one.unionByName(three)
-    two = leaves.join(F.broadcast(first.withColumnRenamed("value", "whole")), "a").select(F.concat_ws("/", "a", "b").alias("id"), F.col("a").alias("parent"), F.col("b").alias("label"), F.lit(2).alias("level"), "value", (F.col("value") / F.col("whole")).alias("real"))
-    return one.unionByName(two).unionByName(three)
+    if m.L2 > 1 and layers > 1:
+        two = leaves.join(F.broadcast(first.withColumnRenamed("value", "whole")), "a")
+        out = out.unionByName(two.select(F.concat_ws("/", "a", "b").alias("id"), F.col("a").alias("parent"), F.col("b").alias("label"), F.lit(2).alias("level"), "value", (F.col("value") / F.col("whole")).alias("real"), "a", "b"))
+    if layers > (2 if m.L2 > 1 else 1):
+        words = _first_n(P.phi(m).select("word", "z", F.col("p").alias("value")), n).withColumn("l1", m.l1("z")).withColumn("l2", m.l2("z")).withColumn("a", _label(m.l1_labels, "l1")).withColumn("b", _label(m.l2_labels, "l2"))
+        words = words.join(F.broadcast(leaves.select("a", "b", F.col("value").alias("leaf"))), ["a", "b"])
+        share = F.col("value") / F.sum("value").over(Window.partitionBy("a", "b"))
+        parent = F.col("a") if m.L2 == 1 else F.concat_ws("/", "a", "b")
+        out = out.unionByName(words.select(F.concat_ws("/", parent, "word").alias("id"), parent.alias("parent"), F.col("word").alias("label"), F.lit(3).alias("level"), (share * 0.9 * F.col("leaf")).alias("value"), F.col("value").alias("real"), "a", "b"))
+    if sort:
+        out = out.withColumn("place", F.row_number().over(Window.orderBy("level", F.desc("value"), "id")))  # a row per topic, leaf and top word
+    if colors:
+        of = lambda labels, kind, c: F.element_at(F.create_map(*[F.lit(v) for pair in zip(labels, palette(len(labels), kind)) for v in pair]), F.col(c))
+        topic, level = ("b", "a") if m.kind == "jst" else ("a", "b")
+        shade = of(m.topic_labels, "topic", topic) if m.kind == "lda" else F.coalesce(of(m.sentiment_labels, "sentiment", level), of(m.topic_labels, "topic", topic))
+        out = out.withColumn("color", shade)
+    return out.drop("a", "b")
 
 
 def ldavis_tables(m: TopicModel) -> dict[str, DataFrame]:
@@ -130,6 +154,18 @@ def ldavis_tables(m: TopicModel) -> dict[str, DataFrame]:
     return {"phi": P.phi(m).select("z", "word", "p"), "theta": P.doc_l1(m).select("doc_id", "l1", "p"), "doc_length": m.docs.select("doc_id").join(lengths, "doc_id", "left").na.fill(0), "vocab": m.vocab.select("word"), "term_frequency": terms}
 
 
+def ldavis_json(m: TopicModel, cells: int = 5_000_000) -> str:
+    """The five tables as the JSON that LDAvis reads: phi by topic, theta by document, doc.length, vocab, term.frequency,
+    vocabulary and documents in order. That is one text on the driver: more than so many cells are an error."""
+    tables, docs, words = ldavis_tables(m), m.docs.count(), m.vocab.count()
+    if (docs + words) * m.Z > cells:
+        raise ValueError(f"{(docs + words) * m.Z} cells are too many for one text")
+    phi = tables["phi"].groupBy("word").agg(F.array_sort(F.collect_list(F.struct("z", "p"))).alias("p")).join(tables["term_frequency"], "word", "left").orderBy("word").collect()
+    theta = tables["theta"].groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("l1", "p"))).alias("p")).join(tables["doc_length"], "doc_id").orderBy("doc_id").collect()
+    by_word = [[c.p for c in r.p] for r in phi]
+    return json.dumps({"phi": [list(x) for x in zip(*by_word)], "theta": [[c.p for c in r.p] for r in theta], "doc.length": [r.doc_length for r in theta], "vocab": [r.word for r in phi], "term.frequency": [r.term_frequency or 0 for r in phi]})
+
+
 def palette(n: int, kind: str = "topic") -> list[str]:
     """n colours as hex strings: evenly spaced hues, or red to green for sentiments."""
     import colorsys

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearc.functions.special import lgamma
+from tonearc.functions.special import stem
 from tonearc.model import TopicModel
 from tonearc.operators import chains, coherence, corpus, gibbs, lexicon, merging, posterior, sentiment, series, summary, synth
 from tonearc.plans import fixtures as X
+from tonearc.plans import more
 from tonearc.plans import sql as Q
 from tonearc.sources import importers
 
@@ -63,13 +64,23 @@ SELECT page_id, paragraph, page_id || '_' || (paragraph + 1) AS paragraph_id, ki
 # ---- lexicon ---------------------------------------------------------------------------------------------------------
 
 _add("lexicon_match", lambda s, d: lexicon.match(X.tokens(s, d).select("word").distinct(), X.LEXICON, ["negative", "positive"]), f"WITH {Q.TOKENS}, {Q.LEX} SELECT word, lex FROM lexv")
+def _greedy(starts: str, span: int) -> str:
+    """Starts (doc_id, pos) of a table that a reader from left to right takes, as a fold over each document's list."""
+    return f"(SELECT doc_id, unnest(list_reduce(list([pos] ORDER BY pos), lambda a, x: CASE WHEN x[1] >= a[len(a)] + {span} THEN list_concat(a, x) ELSE a END)) AS pos FROM {starts} GROUP BY doc_id)"
+
+
 _KINDS = f"""WITH {Q.TOKENS}, {Q.LEX},
 k AS (SELECT doc_id, pos, word, lex, word IN ('to', 'no', 'de', 'la') AS neg, word IN ('in', 'die', 'que', 'of') AS amp FROM tok JOIN lexv USING (word)),
-l AS (SELECT *, lead(word, 1) OVER w AS w1, lead(word, 2) OVER w AS w2, lead(lex, 1) OVER w AS x1, lead(lex, 2) OVER w AS x2, lead(amp, 1) OVER w AS a1 FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-s AS (SELECT *, CASE WHEN neg AND a1 AND x2 IS NOT NULL THEN 3 WHEN neg AND x1 IS NOT NULL THEN 2 ELSE 1 END AS span FROM l),
-u AS (SELECT *, coalesce(lag(span, 1) OVER w > 1, false) OR coalesce(lag(span, 2) OVER w > 2, false) AS used FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-c AS (SELECT doc_id, pos, CASE span WHEN 1 THEN word WHEN 2 THEN '#NEG#__' || w1 ELSE '#NEG#__' || w2 END AS word,
-  CASE WHEN span = 1 THEN lex ELSE CASE (CASE span WHEN 2 THEN x1 ELSE x2 END) WHEN 'positive' THEN 'negative' ELSE 'positive' END END AS lex, span > 1 AS compounded FROM u WHERE NOT used)
+s3 AS (SELECT a.doc_id, a.pos, c.word AS w, c.lex AS x FROM k a JOIN k b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 JOIN k c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2 WHERE a.neg AND b.amp AND c.lex IS NOT NULL),
+g3 AS {_greedy('s3', 3)},
+t3 AS (SELECT doc_id, pos + unnest([0, 1, 2]) AS pos FROM g3),
+s2 AS (SELECT a.doc_id, a.pos, b.word AS w, b.lex AS x FROM k a JOIN k b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 WHERE a.neg AND b.lex IS NOT NULL
+  AND NOT EXISTS (FROM t3 WHERE t3.doc_id = a.doc_id AND t3.pos = a.pos) AND NOT EXISTS (FROM t3 WHERE t3.doc_id = a.doc_id AND t3.pos = a.pos + 1)),
+g2 AS {_greedy('s2', 2)},
+h AS (SELECT s3.*, 3 AS span FROM s3 JOIN g3 USING (doc_id, pos) UNION ALL SELECT s2.*, 2 FROM s2 JOIN g2 USING (doc_id, pos)),
+e AS (SELECT doc_id, pos + 1 AS pos FROM h UNION ALL SELECT doc_id, pos + 2 FROM h WHERE span = 3),
+c AS (SELECT k.doc_id, k.pos, CASE WHEN h.span IS NULL THEN k.word ELSE '#NEG#__' || h.w END AS word, CASE WHEN h.span IS NULL THEN k.lex WHEN h.x = 'positive' THEN 'negative' ELSE 'positive' END AS lex, h.span IS NOT NULL AS compounded
+  FROM k LEFT JOIN h ON h.doc_id = k.doc_id AND h.pos = k.pos WHERE NOT EXISTS (FROM e WHERE e.doc_id = k.doc_id AND e.pos = k.pos))
 """
 _add("lexicon_negation", lambda s, d: lexicon.compound(X.tokens(s, d), X.LEXICON, ["negative", "positive"]), _KINDS + "SELECT * FROM c")
 _add(
@@ -89,14 +100,14 @@ def _segments(s: SparkSession, d: str) -> DataFrame:
     return X.documents(s, d).select("doc_id", "text", "source")
 
 
-_NGRAM = f"""WITH RECURSIVE {Q.TOKENS},
+_NGRAM = f"""WITH {Q.TOKENS},
 big AS (SELECT doc_id, pos, word || ' ' || lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS keyword FROM tok),
 lexi AS (SELECT keyword, length(keyword) AS n FROM big WHERE keyword IS NOT NULL GROUP BY keyword HAVING count(*) >= 20),
 hit AS (SELECT doc_id, pos, n FROM big JOIN lexi USING (keyword)),
--- a match starts where the match before it has ended: of a run of adjacent starts only the first, as its end covers the next
-mark AS (SELECT doc_id, pos, n, coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 2 > pos, false) AS busy FROM hit),
+gr AS {_greedy('hit', 2)},
+mark AS (SELECT doc_id, pos, n FROM hit JOIN gr USING (doc_id, pos)),
 per AS (SELECT doc_id, sum((n * 3 % 7) / 7.0e0 - (n % 7) / 7.0e0) AS mp, sum((n * 6 % 7) / 7.0e0 - (n * 4 % 7) / 7.0e0) AS ec,
-  sum((n % 7) / 7.0e0 + (n * 2 % 7) / 7.0e0 + (n * 3 % 7) / 7.0e0) AS mpa, sum((n * 4 % 7) / 7.0e0 + (n * 5 % 7) / 7.0e0 + (n * 6 % 7) / 7.0e0) AS eca FROM mark WHERE NOT busy GROUP BY doc_id),
+  sum((n % 7) / 7.0e0 + (n * 2 % 7) / 7.0e0 + (n * 3 % 7) / 7.0e0) AS mpa, sum((n * 4 % 7) / 7.0e0 + (n * 5 % 7) / 7.0e0 + (n * 6 % 7) / 7.0e0) AS eca FROM mark GROUP BY doc_id),
 b AS (SELECT doc_id, source, coalesce(mp, 0) AS mp, coalesce(ec, 0) AS ec, avg(coalesce(mpa, 0)) OVER (PARTITION BY source) AS mpm, avg(coalesce(eca, 0)) OVER (PARTITION BY source) AS ecm FROM documents LEFT JOIN per USING (doc_id))
 SELECT doc_id, round(mp / greatest(mpm, sqrt(2.220446049250313e-16)), 6) + 0e0 AS mp, round(ec / greatest(ecm, sqrt(2.220446049250313e-16)), 6) + 0e0 AS ec FROM b"""
 _add(
@@ -104,7 +115,23 @@ _add(
     lambda s, d: rounded(lexicon.ngram_scores(_segments(s, d), _ngram_lexicon(s, d), parent_col="source", stemmed=False)).select("doc_id", *[(F.col(c) + 0.0).alias(c) for c in ("mp", "ec")]),
     _NGRAM,
 )
-_add("ngram_scores_stemmed", lambda s, d: lexicon.ngram_scores(_segments(s, d), _ngram_lexicon(s, d), parent_col="source"))
+_add(
+    "ngram_scores_per_word",
+    lambda s, d: rounded(lexicon.ngram_scores(_segments(s, d), _ngram_lexicon(s, d), parent_col="source", stemmed=False, per_word=True)).select("doc_id", "keyword", *[(F.col(c) + 0.0).alias(c) for c in ("mp", "ec")]),
+    _NGRAM[: _NGRAM.index("SELECT doc_id, round(mp")] + """, pw AS (SELECT hit.doc_id, keyword, count(*) AS k, any_value(hit.n) AS n FROM hit JOIN mark USING (doc_id, pos) JOIN big USING (doc_id, pos) GROUP BY ALL)
+SELECT pw.doc_id, keyword, round(k * ((n * 3 % 7) / 7.0e0 - (n % 7) / 7.0e0) / greatest(mpm, sqrt(2.220446049250313e-16)), 6) + 0e0 AS mp, round(k * ((n * 6 % 7) / 7.0e0 - (n * 4 % 7) / 7.0e0) / greatest(ecm, sqrt(2.220446049250313e-16)), 6) + 0e0 AS ec FROM pw JOIN b USING (doc_id)""",
+)
+
+
+def _stemmed_lexicon(s: SparkSession, d: str) -> DataFrame:
+    """The same weights on frequent pairs of stems."""
+    tokens = X.tokens(s, d).withColumn("word", stem("word"))
+    pairs = corpus.collocations(tokens, 20).select(F.concat_ws(" ", "first", "second").alias("keyword"), F.lit(2).alias("ngram"))
+    weight = lambda k: (F.length("keyword") * k % 7 / 7.0).alias
+    return pairs.select("keyword", "ngram", weight(1)("mp_acco"), weight(2)("mp_neut"), weight(3)("mp_rest"), weight(4)("ec_nega"), weight(5)("ec_neut"), weight(6)("ec_posi"))
+
+
+_add("ngram_scores_stemmed", lambda s, d: lexicon.ngram_scores(_segments(s, d), _stemmed_lexicon(s, d), parent_col="source"))
 
 # ---- counts and posteriors -------------------------------------------------------------------------------------------
 
@@ -119,8 +146,8 @@ for _k, _m in _MODELS.items():
     _add(f"l1_mixture_{_k}", lambda s, d, m=_m: rounded(posterior.doc_l1(m(s, d))), f"{_w} SELECT doc_id, l1, any_value(n1)::BIGINT AS n, round(any_value(l1_p), 6) AS p FROM mix GROUP BY doc_id, l1")
     _add(f"l2_mixture_{_k}", lambda s, d, m=_m: rounded(posterior.doc_l2(m(s, d))), f"{_w} SELECT doc_id, l1, l2, n, round(l2_p, 6) AS p FROM mix")
     _add(f"phi_{_k}", lambda s, d, m=_m: rounded(posterior.phi(m(s, d)).drop("l1", "l2"), 10), f"{_p} SELECT word, z, n, round(p, 10) AS p FROM phi")
-    _long = f"doc_id, {Q.topic()} AS topic, round(l1_p, 6) AS prob" if _k == "lda" else f"doc_id, {Q.topic(_topic)} AS topic, {Q.sentiment(_sent)} AS sentiment, {Q.topic('l1') if _k == 'rjst' else Q.sentiment('l1')} || '_' || {Q.sentiment('l2') if _k == 'rjst' else Q.topic('l2')} AS sentopic, round(l1_p, 6) AS l1_prob, round(l2_p, 6) AS l2_prob, round(p, 6) AS prob"
-    _add(f"melt_{_k}", lambda s, d, m=_m: rounded(summary.melt(m(s, d))), f"{_w} SELECT {_long} FROM mix")
+    _long = f"doc_id, {Q.topic()} AS topic, round(l1_p, 10) AS prob" if _k == "lda" else f"doc_id, {Q.topic(_topic)} AS topic, {Q.sentiment(_sent)} AS sentiment, {Q.topic('l1') if _k == 'rjst' else Q.sentiment('l1')} || '_' || {Q.sentiment('l2') if _k == 'rjst' else Q.topic('l2')} AS sentopic, round(l1_p, 10) AS l1_prob, round(l2_p, 10) AS l2_prob, round(p, 10) AS prob"
+    _add(f"melt_{_k}", lambda s, d, m=_m: rounded(summary.melt(m(s, d)), 10), f"{_w} SELECT {_long} FROM mix")
     _add(f"integrity_flags_{_k}", lambda s, d, m=_m: posterior.integrity(m(s, d)), "SELECT true AS za, true AS toks, true AS lex, true AS l1, true AS l2, true AS phi")
 
 _add(
@@ -197,22 +224,18 @@ _TOPW = """, topw AS (SELECT z, word FROM (SELECT *, row_number() OVER (PARTITIO
 
 
 def _pairs(window: int, full: bool) -> str:
-    """..., np (w1, w2, v): NPMI of pairs of top words, or of top words with all words, over trimmed tokens."""
+    """..., np (w1, w2, v): NPMI of pairs of top words, or of top words with all words: every window is a row here."""
     right = "ww" if full else "tw"
-    return f"""{Q.model("lda", trimmed=True)}{Q.phi()}{_TOPW},
-ln AS (SELECT doc_id, max(pos) + 1 AS n FROM tt GROUP BY doc_id), nw AS (SELECT sum(greatest(1, n - {window} + 1)) AS w FROM ln),
+    return f"""{Q.model("lda")}{Q.phi()}{_TOPW},
+ln AS (SELECT doc_id, max(pos) + 1 AS n FROM tok GROUP BY doc_id), nw AS (SELECT sum(greatest(1, n - {window} + 1)) AS w FROM ln),
 ww AS (SELECT DISTINCT doc_id, unnest(range(greatest(0, least(pos - {window} + 1, greatest(0, least(pos, n - {window}))))::BIGINT, greatest(0, least(pos, n - {window}))::BIGINT + 1)) AS st, word
-  FROM tt JOIN ln USING (doc_id) WHERE word IS NOT NULL {"" if full else "AND word IN (SELECT word FROM topw)"}),
+  FROM tok JOIN ln USING (doc_id) {"" if full else "WHERE word IN (SELECT word FROM topw)"}),
 tw AS (SELECT * FROM ww WHERE word IN (SELECT word FROM topw)), sg AS (SELECT word, count(*) AS c FROM ww GROUP BY word),
 bo AS (SELECT a.word AS w1, b.word AS w2, count(*) AS c FROM tw a JOIN {right} b ON a.doc_id = b.doc_id AND a.st = b.st GROUP BY ALL),
 pr AS (SELECT w1, w2, x.c / w AS p1, y.c / w AS p2, bo.c / w AS p12 FROM bo JOIN sg x ON x.word = w1 JOIN sg y ON y.word = w2 CROSS JOIN nw),
 np AS (SELECT w1, w2, p1, p2, p12, CASE WHEN p12 >= 1 THEN 1 ELSE ln(p12 / (p1 * p2)) / -ln(p12) END AS v FROM pr)"""
 
 
-def _trimmed(s: SparkSession, d: str) -> TopicModel:
-    return X.lda(s, d, trimmed=True)
-
-
 _add(
     "virtual_documents",
     lambda s, d: corpus.virtual_documents(X.tokens(s, d), 10).select("doc_id", "start", F.size("words").alias("n"), F.array_join("words", " ").alias("words")),
@@ -221,18 +244,18 @@ SELECT doc_id, pos AS start, len(ws)::INT AS n, array_to_string(ws, ' ') AS word
 )
 _add(
     "cooccurrence_npmi",
-    lambda s, d: rounded(coherence.npmi(coherence.cooccurrence((m := _trimmed(s, d)).tokens, 10, summary.top_word_index(m).select("word").distinct()))),
+    lambda s, d: rounded(coherence.npmi(coherence.cooccurrence((m := X.lda(s, d)).tokens, 10, summary.top_word_index(m).select("word").distinct()))),
     f"{_pairs(10, False)} SELECT w1, w2, round(p1, 6) AS p1, round(p2, 6) AS p2, round(p12, 6) AS p12, round(v, 6) AS npmi FROM np",
 )
 _add(
     "coherence_npmi",
-    lambda s, d: rounded(coherence.coherence(_trimmed(s, d), method="C_NPMI")),
+    lambda s, d: rounded(coherence.coherence(X.lda(s, d), method="C_NPMI")),
     f"{_pairs(10, False)} SELECT a.z, a.z AS l1, 0 AS l2, round(avg(coalesce(v, -1)), 6) AS value FROM topw a JOIN topw b ON a.z = b.z AND a.word < b.word LEFT JOIN np ON w1 = a.word AND w2 = b.word GROUP BY a.z",
 )
 _add(
     "coherence_cv",
-    lambda s, d: rounded(coherence.coherence(_trimmed(s, d), method="C_V", window=10)),
-    f"""{_pairs(10, True)},
+    lambda s, d: rounded(coherence.coherence(X.lda(s, d), method="C_V")),
+    f"""{_pairs(110, True)},
 g AS (SELECT topw.z, topw.word AS w1, lexv.word AS w2, coalesce(v, -1) AS a FROM topw CROSS JOIN lexv LEFT JOIN np ON np.w1 = topw.word AND np.w2 = lexv.word),
 s AS (SELECT z, w2, sum(a) AS b FROM g GROUP BY ALL),
 c AS (SELECT g.z, w1, sum(a * b) / sqrt(sum(a * a) * sum(b * b)) AS c FROM g JOIN s USING (z, w2) GROUP BY ALL)
@@ -242,37 +265,19 @@ SELECT z, z AS l1, 0 AS l2, round(avg(c), 6) AS value FROM c GROUP BY z""",
 # ---- likelihood ------------------------------------------------------------------------------------------------------
 
 
-def _loglik_w(s: SparkSession, d: str) -> DataFrame:
-    cells = posterior.word_counts(X.lda(s, d))
-    per = cells.withColumn("x", lgamma(F.col("n") + F.col("beta") + 1e-9) - lgamma(F.col("beta") + F.lit(1e-9))).groupBy("z").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("beta").alias("b"))
-    return per.select("z", F.round(F.col("x") + lgamma("b") - lgamma(F.col("n") + F.col("b")), 3).alias("w"))
-
-
-def _loglik_layer(m: Callable[[SparkSession, str], TopicModel], second: bool) -> Query:
-    def query(s: SparkSession, d: str) -> DataFrame:
-        model = m(s, d)
-        x, prior, keys = (posterior.doc_l2(model), model.l2_prior[0], ["l1"]) if second else (posterior.doc_l1(model), model.l1_prior[0], [])
-        size = model.L2 if second else model.L1
-        per = x.withColumn("g", lgamma(F.col("n") + prior)).groupBy("doc_id", *keys).agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
-        const = lgamma(F.lit(prior * size)) - lgamma(F.lit(prior)) * size
-        return per.select(*keys, (F.col("g") + const - lgamma(F.col("n") + prior * size)).alias("v")).groupBy(*keys).agg(F.round(F.sum("v"), 4).alias("loglik"))
-
-    return query
-
-
 _add(
     "loglik_w",
-    _loglik_w,
+    lambda s, d: posterior.loglik_words(X.lda(s, d)).select("z", F.round("value", 3).alias("w")),
     f"{Q.model()}{Q.phi()} SELECT z, round(sum(lgamma(n + beta + 1e-9) - lgamma(beta + 1e-9)) + lgamma(sum(beta)) - lgamma(sum(n) + sum(beta)), 3) AS w FROM cell GROUP BY z",
 )
 _add(
     "loglik_l1",
-    _loglik_layer(X.lda, False),
+    lambda s, d: posterior.loglik_l1(X.lda(s, d)).agg(F.round(F.sum("value"), 4).alias("loglik")),
     f"{Q.model()}, p AS (SELECT doc_id, sum(lgamma(n + 1e0)) - lgamma(sum(n) + 5e0) + lgamma(5e0) - 5 * lgamma(1e0) AS v FROM mix GROUP BY doc_id) SELECT round(sum(v), 4) AS loglik FROM p",
 )
 _add(
     "loglik_l2",
-    _loglik_layer(X.rjst, True),
+    lambda s, d: posterior.loglik_l2(X.rjst(s, d)).groupBy("l1").agg(F.round(F.sum("value"), 4).alias("loglik")),
     f"{Q.model('rjst')}, p AS (SELECT l1, doc_id, sum(lgamma(n + 5e0)) - lgamma(sum(n) + 15e0) + lgamma(15e0) - 3 * lgamma(5e0) AS v FROM mix GROUP BY ALL) SELECT l1, round(sum(v), 4) AS loglik FROM p GROUP BY l1",
 )
 
@@ -425,7 +430,7 @@ SELECT doc_id, round(sum(theta * theta * (pp - pn)), 6) AS sentiment FROM (SELEC
 
 def _fitted(s: SparkSession, d: str) -> DataFrame:
     """Document mixtures after a few sweeps over the whole corpus."""
-    m = gibbs.fit(gibbs.start(X.lda(s, d, trimmed=True)), iterations=3, likelihood=False)
+    m = gibbs.fit(gibbs.start(X.lda(s, d)), iterations=10, likelihood=False)
     return posterior.doc_l1(m)
 
 
@@ -444,8 +449,8 @@ _add("synthetic_recovery", _recovery)
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | more.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | more.SQL

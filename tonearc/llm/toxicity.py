@@ -33,7 +33,7 @@ _BITS = 5
 #: Ratios are added up as whole numbers of 1 / SCALE, so that sums do not depend on the order.
 SCALE = 1 << 24
 #: Bytes of text in a block of documents.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 14 << 20
 #: First bytes of longer UTF-8 letters count for nothing, the bytes after them as one of four symbols.
 _SYMBOL = np.array([b - 96 if 97 <= b <= 122 else 27 if 48 <= b <= 57 else 28 + b % 4 if 128 <= b < 192 else 0 for b in range(256)], np.int64)
 #: Labels up to this number of rows are broadcast to the documents, more are joined by a shuffle.
@@ -198,6 +198,8 @@ def ratios(counted: DataFrame, requests: DataFrame, buckets: int) -> DataFrame:
             low, high = _loose(blob.as_py())
             got = np.rint(ratio(np.cumsum(low | high << 32)).astype(float) * SCALE).astype(np.int64)
             out.append(_planes(got + (1 << 31)))  # ratios are far below 128
+        del ratio
+        C.give_back()
         return pa.table([asked["block"], asked["bucket"], pa.array(out, pa.binary())], ["block", "bucket", "answer"])
 
     mine = counted.withColumn("bucket", _bucket(F.col("gram"), buckets)).groupBy("bucket")
@@ -260,8 +262,9 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for step in C.text_steps(batches):
         block.add(step)
         if block.size >= BLOCK_BYTES:
-            yield block.row()
-            block = _Block()
+            row, block = block.row(), _Block()
+            C.give_back()
+            yield row
     if block.ids:
         yield block.row()
 
@@ -290,6 +293,8 @@ def evidence(docs: DataFrame, counted: DataFrame, id_col: str = "doc_id", text_c
                 some = np.flatnonzero(np.diff(first))
                 steps = [np.diff(own[first[k] : first[k + 1]], prepend=0) for k in some.tolist()]
                 blobs = [_planes(x & 0xFFFFFFFF) + _planes(x >> 32) for x in steps]
+                del own, steps
+                C.give_back()
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["block", "bucket", "grams"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,6 +308,7 @@ def evidence(docs: DataFrame, counted: DataFrame, id_col: str = "doc_id", text_c
                     ratio = np.concatenate([next(_loose(x)) for _, x in found]) - (1 << 31)
                     _, _, place, word = _spelled(words.as_py(), buckets)
                     own = np.add.reduceat(ratio[place], np.flatnonzero(np.diff(word, prepend=-1)))
+                    del found, ratio, place, word
                     some = np.flatnonzero(per_doc)
                     begin = C.prefix(per_doc)[some]
                     run = np.cumsum(term)
@@ -310,6 +316,7 @@ def evidence(docs: DataFrame, counted: DataFrame, id_col: str = "doc_id", text_c
                     out[0, some] = np.add.reduceat(own * n, begin) / SCALE / letters.values.to_numpy()[some]
                     out[1, some] = np.maximum.reduceat(own, begin) / SCALE
                     out[2, some] = np.log1p(np.add.reduceat(np.maximum(own - least, 0) * n, begin) / SCALE)
+                C.give_back()
                 yield pa.RecordBatch.from_arrays([ids.values, *map(pa.array, out)], ["doc_id", *_EVIDENCE])
 
     made = C.saved(C.id_and_text(docs, id_col, text_col).mapInArrow(blocks, "block string, words binary, doc_id array<long>, letters array<long>, terms binary"), "toxic-blocks")

@@ -55,6 +55,8 @@ class Encoder:
         return cls._kept[path]
 
     def encode(self, piece: bytes) -> list[int]:
+        if self.direct and piece[1:].isalpha() and piece[0] == 32:  # a space and ASCII letters, the most common kind
+            return [t.id for t in self.tokenize(piece[1:].lower().decode() if self.lower else "Ġ" + piece[1:].decode())]
         text = piece.decode("utf-8", "replace")
         plain = text.isascii()
         if not self.direct or len(piece) > 256 or not (plain or max(text) < "Ā") or self.mark in text:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tonearc.functions import special
 from tonearc.model import TopicModel
-from tonearc.operators import chains, coherence, corpus, gibbs, lexicon, merging, posterior, sentiment, series, summary, synth
+from tonearc.operators import chains, coherence, collapsed, corpus, gibbs, lexicon, merging, posterior, sentiment, series, summary, synth
 from tonearc.sources import importers
 from tonearc.streaming import scoring
 
@@ -280,3 +280,204 @@ def test_generated_sizes(spark):
     assert v.select("word").distinct().count() == 4 * 3 * 5 + 2 * (4 + 3)
     assert lexicon.partial(v)["negative"] == ["sentiment1w*"]
     assert len(summary.palette(4)) == 4
+
+
+def greedy(words, starts):
+    """Left to right: starts(rest) gives the length of what starts here, or 0."""
+    out, k = [], 0
+    while k < len(words):
+        n = starts(words[k:])
+        out.append((k, n))
+        k += max(n, 1)
+    return out
+
+
+def test_compounds_that_reach_into_each_other(spark):
+    """A word that is used up starts nothing: chains, against a plain walk."""
+    lex = {"negative": ["no", "bad"], "positive": ["good"], "valence_negator": ["not", "no"], "valence_amplifier": ["very", "not"]}
+    neg, amp, polar = {"not", "no"}, {"very", "not"}, {"no", "bad", "good"}
+    rng = np.random.default_rng(3)
+    texts = ["it is not no good day".split(), *[[str(w) for w in rng.choice(["not", "no", "good", "bad", "very", "day"], 40)] for _ in range(30)]]
+    rows = [(d, i, w) for d, t in enumerate(texts) for i, w in enumerate(t)]
+    got = {}
+    for r in lexicon.compound(spark.createDataFrame(rows, "doc_id long, pos int, word string"), lex, ["negative", "positive"]).collect():
+        got.setdefault(r.doc_id, {})[r.pos] = r.word
+    assert got[0] == {0: "it", 1: "is", 2: "#NEG#__no", 4: "good", 5: "day"}
+    for d, t in enumerate(texts):
+        three = {k for k, n in greedy(t, lambda w: 3 if len(w) > 2 and w[0] in neg and w[1] in amp and w[2] in polar else 0) if n}
+        used = {p for k in three for p in (k, k + 1, k + 2)}
+        want, k = {}, 0
+        while k < len(t):
+            two = k not in used and k + 1 not in used and k + 1 < len(t) and t[k] in neg and t[k + 1] in polar
+            want[k] = f"#NEG#__{t[k + 2]}" if k in three else f"#NEG#__{t[k + 1]}" if two else t[k]
+            k += 3 if k in three else 2 if two else 1
+        assert got[d] == want
+
+
+@pytest.mark.parametrize("stemmed", [True, False])
+def test_ngram_scores_read_in_turn(spark, stemmed):
+    """Overlapping phrases of two and three words, against a plain walk; stems of texts meet stems of the lexicon."""
+    phrases = {"aa bb": 1.0, "bb cc": 2.0, "cc dd": 4.0, "bb cc dd": 8.0, "rate motor": 16.0}
+    rows = [(k, len(k.split()), 0.0, 0.0, v, 0.0, v, 2 * v) for k, v in phrases.items()]
+    lex = spark.createDataFrame(rows, "keyword string, ngram int, mp_acco double, mp_neut double, mp_rest double, ec_nega double, ec_neut double, ec_posi double")
+    text = {1: "aa bb cc dd", 2: "bb cc dd aa bb", 3: "aa aa bb", 4: "", 5: "rates motoring bb cc"}
+    docs = spark.createDataFrame([(i, t, "p") for i, t in text.items()], "doc_id long, text string, parent string")
+    got = {r.doc_id: (r.mp, r.ec) for r in lexicon.ngram_scores(docs, lex, parent_col="parent", stemmed=stemmed).collect()}
+    total = {}
+    for i, t in text.items():
+        w = [special.porter_stem(x) for x in t.split()] if stemmed else t.split()
+        of = lambda rest: next((n for n in (3, 2) if " ".join(rest[:n]) in phrases and len(rest) >= n), 0)
+        total[i] = sum(phrases[" ".join(w[k : k + n])] for k, n in greedy(w, of) if n)
+    assert total[1] == 5 and total[5] == (18 if stemmed else 2)
+    mean = sum(total.values()) / len(total)
+    assert got == {i: (pytest.approx(v / mean), pytest.approx(2 * v / (3 * mean))) for i, v in total.items()}
+
+
+@pytest.mark.parametrize("window", [1, 4, 10, None])
+def test_cooccurrence_counts_every_window(spark, edge, window):
+    _, tokens = edge
+    words = tokens.where("word is not null").select("word").distinct()
+    by = {}
+    for r in corpus.virtual_documents(tokens, window).collect():
+        by[r.doc_id, r.start] = set(r.words)
+    got = {(r.w1, r.w2): (r.p1, r.p2, r.p12) for r in coherence.cooccurrence(tokens, window, words).collect()}
+    share = lambda *w: sum(set(w) <= s for s in by.values()) / len(by)
+    names = {w for s in by.values() for w in s}
+    assert got == {(a, b): (share(a), share(b), share(a, b)) for a in names for b in names if share(a, b)}
+
+
+def test_integrity_of_broken_models(edge):
+    m = model(edge, "rjst")
+    assert list(posterior.integrity(m, detailed=True).first()) == [0] * 6
+    out = replace(m, tokens=m.tokens.withColumn("z", F.when(F.col("pos") == 0, 99).otherwise(F.col("z")).cast("int")))
+    assert not posterior.integrity(out).first().za and posterior.integrity(out, detailed=True).first().za == 2
+    swapped = replace(m, tokens=m.tokens.withColumn("z", (F.col("z") + F.when(F.col("z") % 2 == 0, 1).otherwise(-1)).cast("int")))
+    assert not posterior.integrity(swapped).first().lex and posterior.integrity(swapped, detailed=True).first().lex == 4
+    less = replace(m, vocab=m.vocab.where("word <> 'good'"))
+    assert not posterior.integrity(less).first().toks and posterior.integrity(less, detailed=True).first().toks == 3
+
+
+def test_repair_keeps_both_margins(spark):
+    rng = np.random.default_rng(4)
+    n = rng.multinomial(50, [0.5, 0.3, 0.2], size=20)
+    blurred = n * 0.6 + 50 * 0.4 / 3
+    rows = [(d, z, float(blurred[d, z])) for d in range(20) for z in range(3)]
+    totals = spark.createDataFrame([(d, 50) for d in range(20)], "doc_id long, total int")
+    got = posterior.repair_margins(spark.createDataFrame(rows, "doc_id long, z int, n double"), "doc_id", "z", totals, {z: int(n[:, z].sum()) for z in range(3)}).collect()
+    table = np.zeros((20, 3), int)
+    for r in got:
+        table[r.doc_id, r.z] = r.n
+    assert (table >= 0).all() and (table.sum(axis=1) == 50).all() and (table.sum(axis=0) == n.sum(axis=0)).all() and np.abs(table - blurred).max() < 12
+    with pytest.raises(ValueError):
+        posterior.repair_margins(spark.createDataFrame(rows, "doc_id long, z int, n double"), "doc_id", "z", totals, {0: 1, 1: 1, 2: 1})
+
+
+def test_approximate_counts(spark):
+    theta = spark.createDataFrame([(1, 0, 0.8), (1, 1, 0.2), (2, 0, 0.1), (2, 1, 0.9)], "doc_id long, z int, p double")
+    phi = spark.createDataFrame([("a", 0, 0.7), ("a", 1, 0.1), ("b", 0, 0.1), ("b", 1, 0.7), ("c", 0, 0.2), ("c", 1, 0.2)], "word string, z int, p double")
+    lengths = spark.createDataFrame([(1, 11), (2, 9)], "doc_id long, length int")
+    words = spark.createDataFrame([("a", 8), ("b", 9), ("c", 3)], "word string, n int")
+    zd, zw = importers.approximate_counts(theta, phi, lengths, words)
+    total = lambda df, k: {r[0]: r[1] for r in df.groupBy(k).agg(F.sum("n")).collect()}
+    assert total(zd, "doc_id") == {1: 11, 2: 9} and total(zw, "word") == {"a": 8, "b": 9, "c": 3} and total(zd, "z") == total(zw, "z")
+    with pytest.raises(ValueError):
+        importers.approximate_counts(theta, phi.where("word <> 'c'"), lengths, words)
+
+
+def test_mllib(spark):
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.linalg import Vectors
+
+    data = spark.createDataFrame([(1, Vectors.dense([9.0, 8.0, 0.0, 0.0])), (2, Vectors.dense([0.0, 1.0, 9.0, 7.0])), (3, Vectors.dense([8.0, 9.0, 1.0, 0.0]))], ["doc_id", "features"])
+    fitted = LDA(k=2, maxIter=10, seed=1).fit(data)
+    bag = spark.createDataFrame([(1, "a", 9), (1, "b", 8), (2, "b", 1), (2, "c", 9), (2, "d", 7), (3, "a", 8), (3, "b", 9), (3, "c", 1)], "doc_id long, word string, n int")
+    m = importers.from_mllib(fitted, data, ["a", "b", "c", "d"], bag)
+    assert m.K == 2 and all(posterior.integrity(m).first())
+    assert sorted(corpus.bag_of_words(m.tokens).collect()) == sorted(bag.select("doc_id", "word", F.col("n").cast("long")).collect())
+    top = {r.doc_id: r.l1 for r in posterior.doc_l1(m).where("p > 0.5").collect()}
+    assert top[1] == top[3] != top[2]
+
+
+def two_layers(spark, kind, with_lexicon=True, words=100):
+    vocab = synth.generate_vocabulary(spark, topics=3, sentiments=2)
+    tokens = synth.generate_documents(spark, vocab, n=100, words=words, l1_prior=0.1, reverse=kind == "rjst").select("doc_id", "pos", "word").cache()
+    own = lexicon.match(tokens.select("word").distinct(), lexicon.partial(vocab) if with_lexicon else {}, ["negative", "positive"])
+    prior = {"alpha": 0.1, "gamma": 5.0} if kind == "rjst" else {"alpha": 5.0, "gamma": 0.1}
+    t, s = F.col("topic") - 1, F.col("sent") - 1
+    truth = vocab.select("word", (t * 2 + s if kind == "rjst" else s * 3 + t).cast("int").alias("z"), "p")
+    return TopicModel(kind, tokens.select("doc_id").distinct(), tokens.withColumn("z", F.lit(0)), own, K=3, S=2, **prior), truth
+
+
+def logged(m):
+    """The likelihood of a model's assignments by the library's tables."""
+    total = lambda df: df.agg(F.sum("value")).first()[0]
+    return [total(posterior.loglik_words(m)), total(posterior.loglik_l1(m)), total(posterior.loglik_l2(m))]
+
+
+@pytest.mark.parametrize("kind", ["rjst", "jst"])
+def test_two_layers_recovered(spark, kind):
+    """Collapsed chains side by side: the best of some comes within .15 of what generated the texts."""
+    m, truth = two_layers(spark, kind)
+    best = 9.0
+    for seed in (1, 2, 3, 4):  # chains may get stuck
+        fitted = collapsed.fit_chains(gibbs.start(replace(m, seed=seed)), 4, 60)
+        best = min([best, *(chains.distance(c, posterior.phi(c).select("word", "z", "p"), truth, "invariantEuclidean", "max") for c in fitted)])
+        if best <= 0.15:
+            break
+    print(kind, "distance", best)
+    assert best <= 0.15
+    c = fitted[1]
+    assert all(posterior.integrity(c).first()) and c.it == 60 and len(c.loglik) == 60
+    assert logged(c) == pytest.approx(list(c.loglik[-1]), rel=1e-8)
+    again = collapsed.continue_chains([c], 3, gamma_cycle=2, alpha_cycle=3)[0]
+    assert again.it == 63 and len(set(again.l2_prior)) > 2 and len(set(again.l1_prior)) > 1
+    with pytest.raises(ValueError):
+        collapsed.LOCAL_TOKENS, kept = 10, collapsed.LOCAL_TOKENS
+        try:
+            collapsed.fit_chains(m, 1, 1)
+        finally:
+            collapsed.LOCAL_TOKENS = kept
+
+
+@pytest.mark.parametrize("kind,with_lexicon", [("rjst", True), ("jst", False)])
+def test_blocked_sweeps_of_two_layers(spark, kind, with_lexicon):
+    m, _ = two_layers(spark, kind, with_lexicon, words=20)
+    a = gibbs.fit(gibbs.start(m), 4, gamma_cycle=2, alpha_cycle=4, every=2)
+    assert all(posterior.integrity(a).first()) and a.tokens.count() == m.tokens.count()
+    assert logged(a)[0] == pytest.approx(a.loglik[-1][0], rel=1e-8) and len(set(a.l2_prior)) > 2
+    some = gibbs.continue_chains([a], 1)
+    assert some[0].it == 5 and gibbs.grow(a, 0) is a
+    matrix = chains.chain_distances([a, some[0]], "invariantEuclidean")
+    assert matrix[0, 0] == 0 and 0 < matrix[0, 1] == matrix[1, 0]
+    scores = chains.chain_scores([a, some[0]], n=3, window=10).collect()
+    assert len(scores) == 2 and all(-1 <= r.c_npmi <= 1 and -1 <= r.c_v <= 1 for r in scores) and scores[0].loglik_last == pytest.approx(sum(a.loglik[-1]))
+
+
+def test_recompile(edge):
+    m = gibbs.recompile(model(edge, "rjst"), {"negative": ["day"], "positive": ["all", "d*"]})
+    lex = {r.word: r.lex for r in m.vocab.collect()}
+    assert lex["day"] is None and lex["all"] == "positive" and lex["good"] is None and m.it == 0 and all(posterior.integrity(m).first())
+    with pytest.raises(ValueError):
+        gibbs.recompile(model(edge), {})
+
+
+def test_ldavis_json(edge):
+    import json
+
+    m = replace(model(edge), it=1)
+    out = json.loads(summary.ldavis_json(m))
+    assert out["vocab"] == sorted(out["vocab"]) and len(out["phi"]) == 3 and len(out["phi"][0]) == len(out["vocab"]) and out["doc.length"] == [0, 1, 0, 10]
+    assert sum(out["term.frequency"]) == 11 and all(sum(x) == pytest.approx(1) for x in out["theta"])
+    with pytest.raises(ValueError):
+        summary.ldavis_json(m, cells=3)
+
+
+def test_url_dates(spark):
+    urls = spark.createDataFrame([("http://a/press/2019/html/is20190912.en.html",), ("http://a/2020-02-31/x",), ("http://a/1234",), (None,), ("http://b/2021/03/04",)], "url string")
+    assert [None if r.d is None else str(r.d) for r in urls.select(importers.url_date(F.col("url")).alias("d")).collect()] == ["2019-09-12", None, None, None, "2021-03-04"]
+
+
+def test_external_sentiment_of_topics_warns(spark, edge):
+    m = replace(model(edge, "rjst"), it=1).with_sentiment(spark.createDataFrame([(1, 0.1)], "doc_id long, sentiment double"))
+    with pytest.warns(UserWarning):
+        series.sentiment_topics(m, "month")

@@ -18,6 +18,14 @@ NAMES = [
 ]
 
 
+#: Of the queries in plans/more.py those that the tests of operators say least about.
+NAMES += [
+    "keep_features_unpadded", "trim_recipe", "import_assignments", "import_mixtures_bag", "rjst_from_lda_lexicon", "recompiled_vocabulary", "integrity_broken", "integrity_detailed", "inverted_l2", "inverted_phi",
+    "repaired_margin_documents", "repaired_margin_topics", "loglik_w_rjst", "loglik_l2_jst", "topic_sentiment_conditional", "sentiment_override", "sentiment_series_rolling_median", "sentiment_series_scaling_period", "scaled_topic_sentiment",
+    "proportion_plot_quarter", "top_words_plot", "sunburst_layers", "generated_lexicon", "html_main_block", "ngram_scores_per_word",
+]
+
+
 @pytest.fixture(scope="module")
 def db():
     c = duckdb.connect()

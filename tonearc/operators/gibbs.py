@@ -52,7 +52,8 @@ def _pack(m: TopicModel) -> tuple[DataFrame, list[str], np.ndarray]:
     ids = m.docs.sparkSession.createDataFrame(pd.DataFrame({"word": vocab["word"], "w": np.arange(len(vocab), dtype=np.int32)}))
     cells = m.tokens.where(F.col("word").isNotNull()).join(ids, "word").groupBy("doc_id", "w", "z").agg(F.count(F.lit(1)).cast("int").alias("n"))
     docs = cells.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("w", "z", "n"))).alias("c"))
-    flat = docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("key"), *[F.transform("c", lambda x, k=k: x[k]).alias(k) for k in ("w", "z", "n")])
+    part = lambda k: F.transform("c", lambda x: x[k]).alias(k)
+    flat = docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("key"), part("w"), part("z"), part("n"))
     return saved(flat, "gibbs-documents"), vocab["word"].tolist(), beta
 
 

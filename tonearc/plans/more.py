@@ -57,6 +57,17 @@ SELECT w1, w2, round(x.c / w, 8) AS p1, round(y.c / w, 8) AS p2, round(bo.c / w,
 FROM bo JOIN sg x ON x.word = w1 JOIN sg y ON y.word = w2 CROSS JOIN nw"""
 _add("cooccurrence_boolean", lambda s, d: rounded(coherence.npmi(coherence.cooccurrence((m := X.lda(s, d)).tokens, "boolean", summary.top_word_index(m).select("word").distinct())), 8), _BOOL)
 
+_add(
+    "html_main_block",
+    lambda s, d: importers.html_paragraphs(s.read.parquet(f"{d}/pages.parquet"), main=r"(?is)<article>(.*?)</article>", stop="</article>").select("page_id", "kind", "text"),
+    r"""WITH m AS (SELECT page_id, CASE WHEN regexp_matches(coalesce(html, ''), '(?is)<article>(.*?)</article>') THEN regexp_extract(html, '(?is)<article>(.*?)</article>', 1) ELSE coalesce(html, '') END AS html FROM pages),
+b AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<(?:h1|h2|p)(?:\s[^>]*)?>.*?</(?:h1|h2|p)>')) AS block FROM m),
+t AS (SELECT page_id, lower(regexp_extract(block, '^<(\w+)', 1)) AS kind,
+  trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(block, '<[^>]*>', ' ', 'g'),
+    '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b)
+SELECT page_id, kind, text FROM t WHERE length(text) > 0""",
+)
+
 # ---- importers -------------------------------------------------------------------------------------------------------
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonearc.model import TopicModel
@@ -47,12 +48,33 @@ def from_mllib(fitted, data: DataFrame, words: list[str], bag: DataFrame) -> Top
     """An LDA of pyspark.ml: fitted model, its data (doc_id, features), vocabulary and bag (doc_id, word, n)."""
     from pyspark.ml.functions import vector_to_array
 
-    spark, K = data.sparkSession, fitted.getK() if hasattr(fitted, "getK") else fitted.topicsMatrix().numCols
-    matrix = fitted.topicsMatrix().toArray()
-    share = matrix / matrix.sum(axis=0)
-    phi = spark.createDataFrame([(w, int(z), float(share[i, z])) for i, w in enumerate(words) for z in range(share.shape[1])], "word string, z int, p double")
+    spark, K = data.sparkSession, fitted.getK()
+    weights = fitted.describeTopics(len(words)).select(F.col("topic").alias("z"), F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t")).select("z", F.col("t.termIndices").alias("i"), F.col("t.termWeights").alias("p"))
+    phi = weights.join(spark.createDataFrame(list(enumerate(words)), "i int, word string"), "i").select("word", "z", "p")
     theta = fitted.transform(data).select("doc_id", F.posexplode(vector_to_array("topicDistribution")).alias("z", "p"))
-    return from_mixtures(theta, bag, phi, share.shape[1] if K is None else int(K), tuple(float(a) for a in fitted.getDocConcentration()) if hasattr(fitted, "getDocConcentration") and len(fitted.getDocConcentration()) == int(K) else 1.0)
+    prior = tuple(float(a) for a in fitted.estimatedDocConcentration())
+    return from_mixtures(theta, bag, phi, K, prior if len(prior) == K else 1.0)
+
+
+def approximate_counts(theta: DataFrame, phi: DataFrame, lengths: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Integer counts (doc_id, z, n) and (word, z, n) that stand for theta (doc_id, z, p) and phi (word, z, p) of an
+    estimator that keeps none (structural, variational or seeded models): documents add up to lengths (doc_id, length),
+    words to words (word, n), and both tables to the same total of each topic. Words without phi are an error, words of
+    phi that the corpus does not have go."""
+    share = theta.join(lengths, "doc_id").select("doc_id", "z", (F.col("p") * F.col("length")).alias("n"))
+    by_topic = {r.z: r.n for r in share.groupBy("z").agg(F.sum("n").alias("n")).collect()}  # a row per topic
+    total = int(lengths.agg(F.sum("length")).first()[0] or 0)
+    if total != int(words.agg(F.sum("n")).first()[0] or 0):
+        raise ValueError("documents and words do not add up to the same number of tokens")
+    if words.join(phi.select("word"), "word", "left_anti").limit(1).count():
+        raise ValueError("words that the model does not have")
+    order = sorted(by_topic)
+    wanted = dict(zip(order, (int(x) for x in P.largest_remainder(np.array([by_topic[z] for z in order]), total))))
+    zd = P.repair_margins(share, "doc_id", "z", lengths.select("doc_id", F.col("length").alias("total")), wanted)
+    sizes = F.element_at(F.create_map(*[F.lit(x) for z in order for x in (z, float(wanted[z]))]), F.col("z"))
+    cells = phi.join(words.select("word"), "word", "left_semi").select("word", "z", (F.col("p") * sizes).alias("n"))
+    zw = P.repair_margins(cells, "word", "z", words.select("word", F.col("n").alias("total")), wanted)
+    return zd, zw
 
 
 def counts_as_model(theta: DataFrame, lengths: DataFrame, prior: tuple) -> DataFrame:
@@ -75,10 +97,19 @@ def speeches(spark: SparkSession, path: str, lang: str | None = "en") -> DataFra
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
-def html_paragraphs(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", stop: str | None = None) -> DataFrame:
+def url_date(url: Column) -> Column:
+    """The first date (year, month and day in digits, with or without marks between them) in a URL, or null."""
+    found = F.regexp_extract(url, r"((?:19|20)[0-9]{2})[-/_]?(0[1-9]|1[0-2])[-/_]?(0[1-9]|[12][0-9]|3[01])", 0)
+    return F.try_to_date(F.regexp_replace(found, r"[-/_]", ""), "yyyyMMdd") if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(F.regexp_replace(found, r"[-/_]", ""), F.lit("yyyyMMdd")))
+
+
+def html_paragraphs(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", stop: str | None = None, main: str | None = None) -> DataFrame:
     """(page_id, paragraph, paragraph_id, kind, text): headings and paragraphs of a page in order, tags stripped, entities
-    decoded, empty ones left out; stop: a regular expression at whose first match a page ends (questions and answers)."""
+    decoded, empty ones left out; stop: a regular expression at whose first match a page ends (questions and answers); main: one whose first
+    group is the part of a page that counts (a page without it counts whole)."""
     html = F.coalesce(F.col(html_col), F.lit(""))
+    if main is not None:
+        html = F.when(F.regexp_like(html, F.lit(main)), F.regexp_extract(html, main, 1)).otherwise(html)
     if stop is not None:
         html = F.element_at(F.split(html, stop, 2), 1)
     blocks = F.regexp_extract_all(html, F.lit(r"(?is)<(?:h1|h2|p)(?:\s[^>]*)?>.*?</(?:h1|h2|p)>"), F.lit(0))

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from tonearc.model import TopicModel
 from tonearc.operators import posterior as P
+from tonearc.operators.gibbs import TABLE_CELLS
 
 
 def fold_in(m: TopicModel, docs: DataFrame, rounds: int = 20) -> DataFrame:
     """(doc_id, date, mixture): documents (doc_id, date, words) under the fixed phi of an LDA; batch or stream. Words that
-    the model does not know count for nothing."""
+    the model does not know count for nothing. Every task holds phi: more than gibbs.TABLE_CELLS cells are an error."""
+    if m.vocab.count() * m.Z > TABLE_CELLS:
+        raise ValueError("the vocabulary is too large for a table on every task: trim it")
     table = P.phi(m).select("word", "z", "p").toPandas().pivot(index="word", columns="z", values="p")
     index, phi, prior = {w: i for i, w in enumerate(table.index)}, table.to_numpy(), np.array(m.l1_prior)
     shared = docs.sparkSession.sparkContext.broadcast((index, phi))

@@ -174,7 +174,7 @@ def fit(m: TopicModel, iterations: int = 100, chain: int = 1, likelihood: bool =
                         o.append(v.astype(np.int32))
                     sizes[k + 1] = len(x)
                 at = pa.array(np.cumsum(sizes, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), *(pa.ListArray.from_arrays(at, pa.array(np.concatenate(o))) for o in out)], ["doc_id", "key", "w", "z", "n"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), *(pa.ListArray.from_arrays(at, pa.array(np.concatenate(o)).cast(b.column(c).type.value_type)) for c, o in zip(("w", "z", "n"), out))], ["doc_id", "key", "w", "z", "n"])
 
         docs = docs.mapInArrow(sample, docs.schema)
         if sweep % every == 0 or sweep == m.it + iterations:

@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages over documents, each a thin use of one operator."""
+"""The corpus pipeline: five stages over documents, each a thin use of one operator.
+
+All stages but the last return the columns of documents; other columns go, whatever their names. Decisions are by doc_id:
+rows that share one go or stay together (line dedup judges each by its own lines), and a row with a null id is only
+changed by line dedup. Null texts count as empty: they stay until line dedup, which makes them empty texts. Ties go to the
+smallest id. An empty table passes through every stage as an empty one.
+"""
 
 from __future__ import annotations
 
@@ -57,7 +63,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_duplicate", near_duplicate), ("decontamination", decontamination), ("packing", packing)]
 
-#: Tokenisation and similarity groups are beyond SQL; tests compare the pipeline with a brute-force version.
+#: Tokenisation and similarity groups are beyond SQL. A test compares the ids that line dedup and near duplicates leave with
+#: a brute-force version; toxicity, decontamination and packing are compared operator by operator.
 ORACLE_SQL = None
 
 

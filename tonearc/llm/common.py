@@ -85,8 +85,9 @@ def partitions(spark: SparkSession) -> int:
 
 
 def text_steps(batches: Iterator[pa.RecordBatch], step: int | None = None, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut into slices of about step bytes of a column, one row at least. Memory goes back at the end."""
-    step = step or STEP_BYTES
+    """The batches cut into slices of about step bytes of a column, one row at least. Memory goes back every few slices and
+    at the end."""
+    step, done = step or STEP_BYTES, 0
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -96,7 +97,9 @@ def text_steps(batches: Iterator[pa.RecordBatch], step: int | None = None, colum
             end = int(np.searchsorted(off, off[at] + step, side="right")) - 1
             end = min(max(end, at + 1), batch.num_rows)
             yield batch.slice(at, end - at)
-            at = end
+            at, done = end, done + 1
+            if done % 4 == 0:
+                give_back()
     give_back()
 
 

@@ -30,7 +30,7 @@ class Encoder:
 
     _kept: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, remember: int = 700_000):
+    def __init__(self, path: str, remember: int = 300_000):
         quiet_tokenizers()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -48,10 +48,11 @@ class Encoder:
         self.remember, self.young, self.old = remember, {}, {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        """One a worker process."""
+    def of(cls, path: str, remember: int = 300_000) -> Encoder:
+        """One a worker process; remember: pre-tokens that it keeps, twice over (some 200 bytes each)."""
         if path not in cls._kept:
             cls._kept[path] = cls(path)
+        cls._kept[path].remember = remember
         return cls._kept[path]
 
     def encode(self, piece: bytes) -> list[int]:

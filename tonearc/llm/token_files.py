@@ -285,7 +285,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     folder = folder or C.new_path(spark, "token-files")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, part = Encoder.of(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, shard, part = Encoder.of(tokenizer, remember=700_000), TaskContext.get().partitionId(), 0
         terminals = max(encoder.tokenizer.get_vocab_size(True), end_id + 1)
         names: list[int | None] = []
         held: list[np.ndarray] = []

@@ -181,6 +181,22 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 103: 100, 109: 100}
 
 
+def test_no_side_is_broadcast_by_guess(docs, rows, monkeypatch):
+    """Spark guesses a side by its compressed files and without the copies of a salt; only counted sides are broadcast."""
+    plans, plain = [], common.saved
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(common, "saved", lambda df, *a, **k: plans.append(plan(df)) or plain(df, *a, **k))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    got = ngram_join.near_duplicates(docs)
+    assert len(plans) > 10 and not [p for p in [*plans, plan(got)] if "Broadcast" in p]
+    assert sorted((r.doc_id, r.group_id, r.copy_of, r.n_links) for r in got.collect() if r.doc_id is not None) == brute_near(rows)
+
+
+def test_few_enough():
+    """Counted as hash tables are: a million and more of bare ids (96 MB and up) are not few."""
+    assert common.few_enough(250_000, 24) and not common.few_enough(1_000_000, 24) and not common.few_enough(400_000, 56)
+
+
 def test_fingerprints(docs, rows, monkeypatch):
     got = fingerprints.fingerprints(docs).collect()
     order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))

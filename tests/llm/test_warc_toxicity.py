@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonearc.llm import toxicity, warc
+from tonearc.llm import common, toxicity, warc
 
 
 @pytest.fixture(scope="module")
@@ -203,3 +203,14 @@ def test_pipeline(spark, tmp_path, rows):
         if kept:
             left.append((i, "\n".join(kept)))
     assert got == {i for i, group, *_ in brute_near(left) if i == group}
+
+
+@pytest.mark.parametrize("most", [-1, 32 << 20])
+def test_lost_ids_beyond_the_bound_are_not_broadcast(spark, most, monkeypatch):
+    """Spark would broadcast them by its guess of their file; a null id stays either way."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "doc_id long, text string").selectExpr("*", "'' AS lang", "'' AS source", "1L AS n_chars")
+    left = corpus_pipeline._without(docs, spark.createDataFrame([(2,), (2,)], "doc_id long"))
+    assert ("Broadcast" in left._jdf.queryExecution().executedPlan().toString()) == (most > 0)
+    assert {r.doc_id for r in left.collect()} == {1, None}

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from tonearc.functions import special
 from tonearc.model import TopicModel
 from tonearc.operators import chains, coherence, collapsed, corpus, gibbs, lexicon, merging, posterior, sentiment, series, summary, synth
+from tonearc.plans import fixtures as X
 from tonearc.sources import importers
 from tonearc.streaming import scoring
+from tests.conftest import TINY
 
 
 @pytest.fixture(scope="module")
@@ -482,3 +484,25 @@ def test_external_sentiment_of_topics_warns(spark, edge):
     m = replace(model(edge, "rjst"), it=1).with_sentiment(spark.createDataFrame([(1, 0.1)], "doc_id long, sentiment double"))
     with pytest.warns(UserWarning):
         series.sentiment_topics(m, "month")
+
+
+# ---- steps that must not shuffle tokens or keep them at one place ------------------------------------------------------
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_globs_by_start_and_end(spark):
+    from tonearc.functions.special import glob_regex
+
+    patterns, words = ["er*", "*ung", "a?c", "*mid*", "x*z", "*", "to", "**q"], ["er", "Erde", "leer", "ung", "Zeitung", "abc", "ac", "amidst", "xyz", "xz", "to", "too", "", "q", "faq"]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    for p in patterns:
+        both = df.select(lexicon.globbed(F.lower("word"), [p]), F.lower("word").rlike(glob_regex(p))).collect()
+        assert [r[0] for r in both] == [r[1] for r in both], p
+
+
+def test_fixture_tokens_find_their_leaves_without_a_shuffle(spark):
+    for kind in ("rjst", "jst"):
+        assert "Exchange" not in plan(X.two_layer(spark, TINY, kind).tokens)

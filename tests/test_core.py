@@ -506,3 +506,16 @@ def test_globs_by_start_and_end(spark):
 def test_fixture_tokens_find_their_leaves_without_a_shuffle(spark):
     for kind in ("rjst", "jst"):
         assert "Exchange" not in plan(X.two_layer(spark, TINY, kind).tokens)
+
+
+def test_compounds_of_texts_are_those_of_tokens(spark):
+    """No shuffle for texts; documents do not reach into each other, null texts have no tokens."""
+    lex = {"negative": ["bad*"], "positive": ["good", "*ing"], "valence_negator": ["not", "no"], "valence_amplifier": ["very"]}
+    docs = spark.createDataFrame([(1, "Not very GOOD, no"), (2, "good not bad."), (3, None), (4, ""), (5, "not"), (6, "no no baddest very ringing not very")], "doc_id long, text string")
+    texts = lexicon.compound_texts(docs, lex, ["negative", "positive"])
+    assert "Exchange" not in plan(texts)
+    rows = sorted(map(tuple, texts.collect()), key=lambda r: r[:2])
+    assert rows == sorted(map(tuple, lexicon.compound(corpus.tokenise(docs), lex, ["negative", "positive"]).collect()), key=lambda r: r[:2])
+    assert rows[0] == (1, 0, "#NEG#__good", "negative", True) and rows[1] == (1, 3, "no", None, False) and rows[2] == (2, 0, "good", "positive", False)
+    padded = spark.createDataFrame([(1, 0, "not"), (1, 1, None), (1, 2, "good")], "doc_id long, pos int, word string")
+    assert [r.word for r in lexicon.compound(padded, lex, ["negative", "positive"]).orderBy("pos").collect()] == ["not", None, "good"]

@@ -519,3 +519,28 @@ def test_compounds_of_texts_are_those_of_tokens(spark):
     assert rows[0] == (1, 0, "#NEG#__good", "negative", True) and rows[1] == (1, 3, "no", None, False) and rows[2] == (2, 0, "good", "positive", False)
     padded = spark.createDataFrame([(1, 0, "not"), (1, 1, None), (1, 2, "good")], "doc_id long, pos int, word string")
     assert [r.word for r in lexicon.compound(padded, lex, ["negative", "positive"]).orderBy("pos").collect()] == ["not", None, "good"]
+
+
+def test_phrases_of_a_large_lexicon_in_parts(spark, monkeypatch):
+    """A lexicon beyond the limit is handed out in parts, with the same scores; long documents of hits end to end are
+    read once; phrases whose length is not what the lexicon says are none."""
+    rng = np.random.default_rng(5)
+    words = [str(w) for w in rng.choice(list("abcde"), 6000)]
+    docs = spark.createDataFrame([(1, " ".join(words), "p"), (2, "a b c", "p"), (3, None, "p")], "doc_id long, text string, parent string")
+    phrases = [*{" ".join(words[k : k + n]) for k in range(40) for n in (2, 3)}]
+    rows = [(k, len(k.split()), 0.0, 0.0, float(i), 1.0, 0.0, 0.0) for i, k in enumerate(phrases)] + [("c d", 3, 9.0, 9.0, 9.0, 9.0, 9.0, 9.0)]
+    lex = spark.createDataFrame(rows, "keyword string, ngram int, mp_acco double, mp_neut double, mp_rest double, ec_nega double, ec_neut double, ec_posi double")
+    found = lambda: sorted((r.doc_id, r.keyword, round(r.mp, 9)) for r in lexicon.ngram_scores(docs, lex, parent_col="parent", per_word=True, stemmed=False).collect())
+    one = found()
+    of = lambda rest: next((n for n in (3, 2) if len(rest) >= n and " ".join(rest[:n]) in phrases), 0)
+    want = {(1, " ".join(words[k : k + n])) for k, n in greedy(words, of) if n} | {(2, " ".join("abc"[k : k + n])) for k, n in greedy(list("abc"), of) if n}
+    assert {r[:2] for r in one} == want
+    monkeypatch.setattr(lexicon, "PHRASES", 20)
+    assert found() == one
+
+
+def test_collocations_of_lists(spark):
+    docs = spark.createDataFrame([(1, "a b a b c"), (2, "b a b"), (3, None), (4, "a")], "doc_id long, text string")
+    pairs = corpus.collocations_of(corpus.token_lists(docs), 1)
+    assert plan(pairs).count("Exchange") == 1 and "Window" not in plan(pairs)
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, corpus.collocations(corpus.tokenise(docs), 1).collect()))

@@ -544,3 +544,24 @@ def test_collocations_of_lists(spark):
     pairs = corpus.collocations_of(corpus.token_lists(docs), 1)
     assert plan(pairs).count("Exchange") == 1 and "Window" not in plan(pairs)
     assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, corpus.collocations(corpus.tokenise(docs), 1).collect()))
+
+
+def test_repair_of_many_keys_at_once(spark, monkeypatch):
+    """No Python call for each key; the same numbers as key by key, of ragged keys, ties and zeros; ranks for many units."""
+    rng = np.random.default_rng(6)
+    rows = [(d, z, float(v)) for d in range(60) for z, v in enumerate(rng.choice([0, 0.25, 0.5, 1.5, 3.1, -1], 1 + d % 7))]
+    totals = [(d, d % 9) for d in range(60)]
+    df, tot = spark.createDataFrame(rows, "doc_id long, z int, n double"), spark.createDataFrame(totals, "doc_id long, total int")
+    out = posterior.repair(df, "doc_id", "z", tot)
+    assert "FlatMapGroups" not in plan(out)
+    got = {(r.doc_id, r.z): r.n for r in out.collect()}
+    for d, total in totals:
+        own = np.array([v for k, _, v in rows if k == d])
+        assert [got[d, z] for z in range(len(own))] == list(posterior.largest_remainder(own, total))
+    n = rng.multinomial(50, [0.6, 0.3, 0.1], size=40)
+    blurred = spark.createDataFrame([(d, z, float(n[d, z] * 0.5 + 50 * 0.5 / 3)) for d in range(40) for z in range(3)], "doc_id long, z int, n double")
+    both = []
+    for limit in (50_000, 5):
+        monkeypatch.setattr(posterior, "UNITS", limit)
+        both.append(sorted(map(tuple, posterior.repair_margins(blurred, "doc_id", "z", spark.createDataFrame([(d, 50) for d in range(40)], "doc_id long, total int"), {z: int(n[:, z].sum()) for z in range(3)}).collect())))
+    assert both[0] == both[1]

@@ -565,3 +565,17 @@ def test_repair_of_many_keys_at_once(spark, monkeypatch):
         monkeypatch.setattr(posterior, "UNITS", limit)
         both.append(sorted(map(tuple, posterior.repair_margins(blurred, "doc_id", "z", spark.createDataFrame([(d, 50) for d in range(40)], "doc_id long, total int"), {z: int(n[:, z].sum()) for z in range(3)}).collect())))
     assert both[0] == both[1]
+
+
+def test_mixtures_share_cells_out_as_by_hand(spark):
+    """Leaves are columns while cells move: no collected lists of leaves; largest remainders, ties by leaf."""
+    rng = np.random.default_rng(7)
+    theta = {d: rng.dirichlet([1.0] * 3) for d in range(8)} | {8: np.array([0.5, 0.5, 0.0])}
+    phi = {w: rng.random(3) for w in "abcd"} | {"e": np.array([0.25, 0.25, 0.5]), "f": np.array([0.0, 0.0, 1.0])}
+    bag = [(d, w, int(rng.integers(1, 9))) for d in theta for w in [*phi, "unknown"]]
+    table = lambda some, key: spark.createDataFrame([(k, z, float(p)) for k, v in some.items() for z, p in enumerate(v)], f"{key}, z int, p double")
+    m = importers.from_mixtures(table(theta, "doc_id long"), spark.createDataFrame(bag, "doc_id long, word string, n long"), table(phi, "word string"), 3)
+    assert "collect_list" not in plan(m.tokens)
+    got = {(r.doc_id, r.word): r.c for r in m.tokens.groupBy("doc_id", "word").agg(F.array(*[F.count_if(F.col("z") == z) for z in range(3)]).alias("c")).collect()}
+    assert got == {(d, w): list(posterior.largest_remainder(theta[d] * phi[w], n)) for d, w, n in bag if w in phi}
+    assert all([r.pos for r in m.tokens.where(f"doc_id = {d}").orderBy("word", "z", "pos").collect()] == list(range(sum(n for k, w, n in bag if k == d and w in phi))) for d in (0, 8))

@@ -579,3 +579,18 @@ def test_mixtures_share_cells_out_as_by_hand(spark):
     got = {(r.doc_id, r.word): r.c for r in m.tokens.groupBy("doc_id", "word").agg(F.array(*[F.count_if(F.col("z") == z) for z in range(3)]).alias("c")).collect()}
     assert got == {(d, w): list(posterior.largest_remainder(theta[d] * phi[w], n)) for d, w, n in bag if w in phi}
     assert all([r.pos for r in m.tokens.where(f"doc_id = {d}").orderBy("word", "z", "pos").collect()] == list(range(sum(n for k, w, n in bag if k == d and w in phi))) for d in (0, 8))
+
+
+def test_integrity_counts_words_before_it_joins(edge):
+    """Null leaves, leaves below 0 and unknown sentiments of the lexicon, against a plain count."""
+    for kind in ("rjst", "jst"):
+        m = model(edge, kind)
+        z = F.when(F.col("pos") == 0, -1).when(F.col("pos") == 1, None).when(F.col("pos") == 4, 77).otherwise(F.col("z"))
+        m = replace(m, tokens=m.tokens.withColumn("z", z.cast("int")), vocab=m.vocab.withColumn("lex", F.when(F.col("word") == "day", "strange").otherwise(F.col("lex"))).where("word <> 'at'"))
+        own = m.tokens.where("word is not null").join(m.vocab.withColumn("k", F.lit(1)), "word", "left").withColumn("ok", m.allowed()).collect()
+        inside = lambda r: r.z is not None and 0 <= r.z < m.Z
+        got = posterior.integrity(m, detailed=True).first()
+        assert (got.za, got.toks, got.lex) == (sum(not inside(r) for r in own), sum(r.k is None for r in own), sum(inside(r) and r.k == 1 and not r.ok for r in own))
+        flags = posterior.integrity(m).first()
+        assert (flags.za, flags.toks, flags.lex) == (False, False, all(r.ok for r in own if r.lex is not None and r.z is not None))
+        assert plan(posterior._faults(m, False)).count("keys=[word") >= 2

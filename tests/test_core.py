@@ -594,3 +594,15 @@ def test_integrity_counts_words_before_it_joins(edge):
         flags = posterior.integrity(m).first()
         assert (flags.za, flags.toks, flags.lex) == (False, False, all(r.ok for r in own if r.lex is not None and r.z is not None))
         assert plan(posterior._faults(m, False)).count("keys=[word") >= 2
+
+
+def test_keep_many_words_of_skewed_tokens(spark, monkeypatch):
+    tokens = spark.createDataFrame([(1, i, "the" if i % 4 else w) for i, w in enumerate("a B c D e F".split() * 20)] + [(2, 0, None)], "doc_id long, pos int, word string")
+    keep = spark.createDataFrame([("THE",), ("b",), ("f",), (None,)], "word string")
+    rows = []
+    for limit in (1_000_000, 1):
+        monkeypatch.setattr(corpus, "KEPT", limit)
+        rows.append([sorted(map(str, corpus.keep_features(tokens, keep, ["c"], True, p).collect())) for p in (True, False)])
+    assert rows[0] == rows[1] and len(rows[0][0]) == 121
+    monkeypatch.setattr(corpus, "KEPT", 1_000_000)
+    assert "BroadcastHashJoin" in plan(corpus.keep_features(tokens, keep)) and "SortMergeJoin" not in plan(corpus.keep_features(tokens, keep))

@@ -606,3 +606,23 @@ def test_keep_many_words_of_skewed_tokens(spark, monkeypatch):
     assert rows[0] == rows[1] and len(rows[0][0]) == 121
     monkeypatch.setattr(corpus, "KEPT", 1_000_000)
     assert "BroadcastHashJoin" in plan(corpus.keep_features(tokens, keep)) and "SortMergeJoin" not in plan(corpus.keep_features(tokens, keep))
+
+
+@pytest.mark.parametrize("method", ["euclidean", "hellinger", "cosine"])
+def test_leaf_distances_read_each_chain_once(spark, method):
+    rng = np.random.default_rng(8)
+    a, b = rng.dirichlet([0.5] * 30, 3), rng.dirichlet([0.5] * 30, 4)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for x in batches:
+            read.add(x.num_rows)
+            yield x
+
+    table = lambda p: spark.createDataFrame([(f"w{w}", z, float(p[z, w])) for z in range(len(p)) for w in range(30) if w % 4 != z], "word string, z int, p double").mapInArrow(counted, "word string, z int, p double")
+    x, y = (np.array([[0 if w % 4 == z else p[z, w] for w in range(30)] for z in range(len(p))]) for p in (a, b))
+    x, y = (np.sqrt(x), np.sqrt(y)) if method == "hellinger" else (x, y)
+    of = lambda u, v: 1 - u @ v / math.sqrt((u @ u) * (v @ v)) if method == "cosine" else np.linalg.norm(u - v) / (math.sqrt(2) if method == "hellinger" else 1)
+    got = {(r.i, r.j): r.d for r in chains.leaf_distances(table(a), table(b), method).collect()}
+    assert got == {(i, j): pytest.approx(of(x[i], y[j])) for i in range(3) for j in range(4)}
+    assert read.value == sum(w % 4 != z for n in (3, 4) for z in range(n) for w in range(30))

@@ -626,3 +626,17 @@ def test_leaf_distances_read_each_chain_once(spark, method):
     got = {(r.i, r.j): r.d for r in chains.leaf_distances(table(a), table(b), method).collect()}
     assert got == {(i, j): pytest.approx(of(x[i], y[j])) for i in range(3) for j in range(4)}
     assert read.value == sum(w % 4 != z for n in (3, 4) for z in range(n) for w in range(30))
+
+
+def test_frex_of_words_alike_is_computed_once(spark):
+    """Values are those of single cells, and ranks are joined for kinds of words, not for words."""
+    words = [(d, i, w, z) for d, i, w, z in [(1, k, f"w{k}", k % 2) for k in range(40)] + [(2, k, "often", k % 3 // 2) for k in range(9)]]
+    tokens = spark.createDataFrame(words, "doc_id long, pos int, word string, z int")
+    m = importers.from_assignments(tokens, 2)
+    got = {(r.word, r.z): r.value for r in summary.ranked_words(m, "frex", 0.3).collect()}
+    cells = {(r.word, r.z): r.p for r in posterior.phi(m).collect()}
+    excl = {(w, z): round(p / (cells[w, 0] + cells[w, 1]), 12) for (w, z), p in cells.items()}
+    rank = lambda some, w, z: (sum(v < some[w, z] for (_, y), v in some.items() if y == z) + (sum(v == some[w, z] for (_, y), v in some.items() if y == z) + 1) / 2) / 41
+    p = {k: round(v, 12) for k, v in cells.items()}
+    assert got == {(w, z): pytest.approx(1 / (0.3 / rank(excl, w, z) + 0.7 / rank(p, w, z))) for w, z in cells}
+    assert "collect_list" in plan(summary.ranked_words(m, "frex")) and "keys=[ps" in plan(summary.ranked_words(m, "frex"))
